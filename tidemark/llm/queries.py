@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import exact, kdshard, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup,)}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshard.shard(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_minhash_near_dedup,
+        op5_exact_dedup,
+        op10_kd_tree_sharding,
+    )
+}
 
 _COMPONENTS = """, side AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM side UNION SELECT reach.a, side.b FROM reach JOIN side ON reach.b = side.a)"""
@@ -38,4 +53,11 @@ link AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id,
   s.doc_id <= coalesce(m.b, s.doc_id) AS kept
 FROM s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id""",
+    "op5_exact_dedup": r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
 }
