@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, kdshard, minhash
+from . import exact, kdshard, minhash, packing, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(_table(spark, sf_dir, "documents"), _byte_bpe())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _byte_bpe())
+
+
 def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.shard(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +42,8 @@ QUERIES = {
     for f in (
         op3_minhash_near_dedup,
         op5_exact_dedup,
+        op7_token_files,
+        op8_best_fit_packing,
         op10_kd_tree_sharding,
     )
 }
