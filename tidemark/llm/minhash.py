@@ -9,10 +9,10 @@ A pair of similarity s is missed when it agrees in no key of one collection: at
 which is 0.0005 at s = 0.75 for the defaults and 0.000001 at s = 0.9.
 
 Texts whose shingle sets are equal form a class and are linked without a comparison; only one of each class goes
-on.  A table's bucket is never expanded into all pairs: first its members are compared with the bucket's smallest
-id; then, in buckets where links leave more than one component, with the smallest id of each other component;
-and what still is apart is compared pair by pair, across components only.  So no link that the tables find is lost
-to the grouping, and a bucket of copies costs one comparison a member.
+on.  A table's bucket is never expanded into pairs: first its members are compared with the bucket's smallest id.
+Buckets whose members then are in one component are done.  The texts of the others are compared in blocks, across
+components only.  So no link that the tables find is lost to the grouping, and a bucket of copies costs one
+comparison a member.
 
 Nulls and texts without words have an empty set and link with nothing.  A text of fewer words than `width` has its
 whole sequence as its one shingle.  Rows with a null id are dropped from the result's links but keep their row
@@ -149,6 +149,89 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction
     return scratch.save(found, "links")
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered `left` with those numbered `right`."""
+    value, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column = np.cumsum(count > 1) - 1
+    kept = count[code] > 1
+    code, owner = column[code[kept]], owner[kept]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    step = 8192
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(code, (lo, lo + step))
+        dense = np.zeros((len(sets), step), np.float32)
+        dense[owner[a:b], code[a:b] - lo] = 1
+        out += dense[left] @ dense[right].T
+    return out
+
+
+def _between(width: int, threshold: Fraction):
+    """Compare two blocks (side 0 and 1, or one block with itself) across components; emits a spanning forest."""
+    top, bottom = threshold.numerator, threshold.denominator
+
+    def run(key, table):
+        table = table.combine_chunks()
+        column = table.column("text").combine_chunks()
+        sets = [shingle_sets(column.slice(i, 1), width)[0] for i in range(table.num_rows)]
+        side = table.column("side").to_numpy()
+        rep, c = table.column("rep").to_numpy(), table.column("c").to_numpy()
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(j):
+            j = i
+        size = np.array([len(x) for x in sets])
+        both = _intersections(sets, i, j)
+        alike = bottom * both >= top * (size[i][:, None] + size[j][None, :] - both)
+        alike &= c[i][:, None] != c[j][None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        src, dst = [], []
+        for r, k in zip(*np.nonzero(alike), strict=True):
+            a, b = root(int(c[i[r]])), root(int(c[j[k]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                src.append(rep[i[r]])
+                dst.append(rep[j[k]])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def _compare_apart(rest: DataFrame, texts: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Links across components among texts (rep, component c) that share buckets with `lead`.
+
+    Texts connected by shared buckets form a family.  A family is cut into blocks of about BLOCK texts, whole
+    components together unless they are larger, and each pair of blocks is compared as a product of incidence
+    matrices; so a family of n texts sends each of them to n / BLOCK tasks and makes no rows for pairs.
+    """
+    family = connected_components(rest.select(F.col("lead").alias("src"), F.col("rep").alias("dst")), scratch).toDF("rep", "family")
+    docs = scratch.save(rest.select("rep", "c").distinct().join(family, "rep"), "families")
+    size = docs.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n"))
+    small = size.filter(F.col("n") < BLOCK).groupBy("family").agg(F.sum("n").alias("small"))
+    size = scratch.save(size.join(small, "family", "left"), "sizes")
+    large = F.col("n") >= BLOCK
+    docs = docs.join(size, ["family", "c"]).withColumn("of", F.when(large, F.col("c")))
+    docs = docs.withColumn("block", F.when(large, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("small") / BLOCK))))
+    docs = scratch.save(docs.select("family", "rep", "c", F.concat_ws("-", "of", "block").alias("block"), "of"), "blocks")
+    block = docs.select("family", "block", "of").distinct()
+    a, b = block.alias("a"), block.alias("b")
+    pairs = a.join(b, "family").filter("a.block <= b.block and (a.of is null or b.of is null or a.of <> b.of)")
+    pairs = scratch.save(pairs.select("family", F.col("a.block").alias("x"), F.col("b.block").alias("y")), "pairs")
+    first = pairs.join(docs.withColumnRenamed("block", "x"), ["family", "x"]).withColumn("side", F.lit(0))
+    second = pairs.filter("x < y").join(docs.withColumnRenamed("block", "y"), ["family", "y"]).withColumn("side", F.lit(1))
+    sides = first.select("family", "x", "y", "side", "rep", "c").unionByName(second.select("family", "x", "y", "side", "rep", "c"))
+    found = sides.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("family", "x", "y").applyInArrow(_between(width, threshold), "src long, dst long")
+    return scratch.save(found, "links")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -185,32 +268,13 @@ def near_duplicates(
     component = connected_components(links, scratch)
 
     # buckets of more than two members that still are in several components
-    def still_apart() -> DataFrame:
-        own = component.withColumnRenamed("node", "rep")
-        x = members.filter("n > 2").join(own, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("c"))
-        split = x.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-        return scratch.save(x.join(split, "key", "left_semi"), "open")
-
-    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x if y.isEmpty() else scratch.save(x.unionByName(y), "links")
-
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")]
-
-    for last in (False, True):
-        rest = still_apart()
-        if rest.isEmpty():
-            break
-        if last:
-            a, b = rest.alias("a"), rest.alias("b")
-            more = a.join(b, F.col("a.key") == F.col("b.key")).filter("a.c < b.c and a.rep <> a.lead and b.rep <> b.lead").select(*ordered("a.rep", "b.rep"))
-        else:
-            heads = rest.groupBy("key", F.col("c").alias("other")).agg(F.min("rep").alias("head"))
-            more = rest.join(heads, "key").filter("c <> other and head <> lead and rep <> lead").select(*ordered("head", "rep"))
-        grown = joined(links, _compare(more, texts, width, threshold, scratch))
-        if grown is not links:
-            links = grown
-            component = connected_components(links, scratch)
+    own = component.withColumnRenamed("node", "rep")
+    shared = members.filter("n > 2").join(own, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("c"))
+    split = shared.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    rest = scratch.save(shared.join(split, "key", "left_semi").select("rep", "lead", "c").distinct(), "open")
+    if not rest.isEmpty():
+        more = _compare_apart(rest, texts, width, threshold, scratch)
+        component = connected_components(scratch.save(links.unionByName(more), "links"), scratch)
 
     rep = classes.select(*sets, "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", *sets).join(rep, sets, "left")
