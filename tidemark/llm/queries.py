@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, itq, kdshard, minhash, packing, pst, tokenfile
+from . import exact, itq, kdshard, minhash, packing, pst, tokenfile, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _byte_bpe())
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.shard(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op5_exact_dedup,
         op7_token_files,
         op8_best_fit_packing,
+        op9_toxicity_chain,
         op10_kd_tree_sharding,
     )
 }
