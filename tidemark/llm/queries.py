@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, itq, kdshard, minhash, packing, pst, tokenfile, toxicity
+from . import exact, itq, kdshard, minhash, packing, pst, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.suffix_tree_scores(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_round_trip,
         op2_suffix_tree_scores,
         op3_minhash_near_dedup,
         op4_itq_near_vectors,
