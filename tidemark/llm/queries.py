@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, itq, kdshard, minhash, packing, pst, tokenfile, toxicity, warc
+from . import exact, itq, kdshard, minhash, packing, pst, spm, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def _byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spm.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(_table(spark, sf_dir, "documents"), _byte_bpe())
 
@@ -61,6 +67,7 @@ QUERIES = {
         op3_minhash_near_dedup,
         op4_itq_near_vectors,
         op5_exact_dedup,
+        op6_sentencepiece,
         op7_token_files,
         op8_best_fit_packing,
         op9_toxicity_chain,

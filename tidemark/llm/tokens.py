@@ -19,10 +19,10 @@ import os
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from . import textkernels as K
+from .wordtable import WordTable
 
 #: Pieces kept in a worker's table; when it is full it starts anew.
 CACHE = 1_200_000
@@ -67,43 +67,22 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
+class Encoder(WordTable):
     """Ids of whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(CACHE)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # byte-level models spell bytes that aren't printable with the code points from 256 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         odd = [b for b in range(256) if b not in printable]
         self.spelling = {b: 256 + k for k, b in enumerate(odd)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted
-        self.slot = np.zeros(0, np.int64)
-        self.young = np.zeros(0, np.uint64)  # sorted, not merged yet
-        self.young_slot = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.full = 0  # of self.ids
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of the keys, -1 for those not known."""
-        out = np.full(len(keys), -1, np.int64)
-        for have, slot in ((self.known, self.slot), (self.young, self.young_slot)):
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                hit = have[at] == keys
-                out[hit] = slot[at[hit]]
-        return out
 
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        """`keys` is sorted and holds no known key; no text is empty."""
+    def encode_new(self, texts: list[str]) -> list[list[int]]:
         model = self.tokenizer.model
         space = chr(self.spelling[32])
         got: list[list[int]] = []
@@ -120,47 +99,12 @@ class Encoder:
                 rest.append(i)
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             got[i] = x.ids
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        if self.full + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.full], np.zeros(max(len(flat), self.full // 2), np.uint32)))
-        self.ids[self.full : self.full + len(flat)] = flat
-        slots = len(self.lengths) + np.arange(len(keys))
-        self.starts = np.concatenate((self.starts, self.full + np.concatenate(([0], np.cumsum(lengths)[:-1]))))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.full += len(flat)
-        young, slot = np.concatenate((self.young, keys)), np.concatenate((self.young_slot, slots))
-        order = np.argsort(young, kind="stable")
-        self.young, self.young_slot = young[order], slot[order]
-        if len(self.young) > 20_000 + len(self.known) // 4:
-            known, slot = np.concatenate((self.known, self.young)), np.concatenate((self.slot, self.young_slot))
-            order = np.argsort(known, kind="stable")
-            self.known, self.slot = known[order], slot[order]
-            self.young, self.young_slot = self.young[:0], self.young_slot[:0]
+        return got
 
     def encode(self, column: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, with `end` after each, and n+1 offsets."""
         raw, at = K.buffers(column)
-        start = piece_starts(raw, at)
-        stop = np.concatenate((start[1:], [len(raw)])) if len(start) else start
-        of, keys = pd.factorize(K.span_hashes(raw, start, stop))
-        where = np.zeros(len(keys), np.int64)
-        where[of[::-1]] = np.arange(len(of))[::-1]
-        if len(self.lengths) + len(keys) > CACHE:
-            self._clear()
-        slots = self._find(keys)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            new = new[np.argsort(keys[new])]
-            data = raw.tobytes()
-            spans = zip(start[where[new]].tolist(), stop[where[new]].tolist(), strict=True)
-            self._add(keys[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
-            slots = self._find(keys)
-        slot = slots[of]
-        lengths = self.lengths[slot] if len(slot) else np.zeros(0, np.int64)
-        sums = np.concatenate(([0], np.cumsum(lengths)))
-        flat = self.ids[np.repeat(self.starts[slot] - sums[:-1], lengths) + np.arange(sums[-1])] if len(slot) else np.zeros(0, np.uint32)
-        offsets = sums[np.searchsorted(start, at)]
+        flat, offsets = self.lookup(raw, at, piece_starts(raw, at))
         if end is None:
             return flat, offsets
         out = np.full(len(flat) + len(column), end, np.uint32)
