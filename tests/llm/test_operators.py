@@ -272,7 +272,7 @@ def test_genetic_algorithm_beats_its_seed():
 
 def test_suffix_tree(spark):
     texts = corpus(7, 200) + ["the cat sat on the mat and the dog sat on the log"] * 30
-    rows = {r["doc_id"]: r for r in pst.suffix_tree_scores(frame(spark, texts), alphabet=64, least=1e-3).collect()}
+    rows = {r["doc_id"]: r for r in pst.suffix_tree_scores(frame(spark, texts), alphabet=512, least=2e-4).collect()}
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     seen = [[*words(t), "\n"] for t in texts]
     c = Counter(w for s, h in zip(seen, held, strict=True) if not h for w in s)

@@ -8,8 +8,8 @@ merged count above one travel on; there they are grouped by their bytes.
 
 Of equal texts the row with the most code points in the original text stays, then that with the smallest id.
 Null texts count as empty; empty texts are equal to one another.  A null id loses against any other.  Ids are
-expected to be distinct: rows that repeat the staying row's id are marked kept as well, and `keep_one` drops all
-but one of them.  Empty tables give empty results.  Other columns are ignored.
+expected to be distinct: rows that repeat the staying row's id are marked kept as well, and `keep_one` keeps one
+of them.  Empty tables give empty results.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,6 +178,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay; one row an id."""
-    gone = exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone["_gone"]), "left_anti").dropDuplicates([id_col])
+    """The rows of `docs` that stay.  Rows are known by id and text, so texts that share an id are told apart, and of
+    rows that repeat both one stays."""
+    found = exact_duplicates(docs, id_col, text_col)
+    gone = found.filter("not kept").select(F.col(id_col).alias("_gone"), "text_sha256").distinct()
+    normal = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
+    marked = docs.withColumn("_sha", F.sha2(normal, 256))
+    same = F.col(f"`{id_col}`").eqNullSafe(gone["_gone"]) & (F.col("_sha") == gone["text_sha256"])
+    return marked.join(gone, same, "left_anti").dropDuplicates([id_col, "_sha"]).drop("_sha")

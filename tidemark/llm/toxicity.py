@@ -14,7 +14,7 @@ row and whole text.
 Null and empty texts have no features and get the models' constant, but are never rejected.  Rows with a null
 id are scored; they don't train.  Labels without a text and null labels don't train; of repeated labels the largest
 holds.  Without labels of both kinds a category gets the share of positives as probability (0 without labels).
-Repeated rows are scored each.  Empty tables give empty results.  Other columns are ignored.
+Repeated rows are scored each; rows that share an id with a rejected one go with it.  Empty tables give empty results.  Other columns are ignored.
 """
 
 from __future__ import annotations
