@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.select import run_select
 from tidemark.plans.lexer import QueryError
@@ -158,3 +159,45 @@ def test_write_rows(engine, spark):
     n, bad = engine.write_rows("w", spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "Key string, v long"))
     assert n == 1 and bad.count() == 3
     assert [tuple(r) for r in engine.sql("SELECT Key, v FROM w").collect()] == [("a", 1)]
+
+
+def test_archive(engine, spark):
+    from tidemark.shell import Shell
+
+    archive = engine.archive("history", "CompletionDate")
+    assert archive.rows().count() == 0
+    archive.append(spark.createDataFrame([(1, 1_700_000_000), (2, 1_700_000_100), (3, None)], "ClusterId long, CompletionDate long"))
+    archive.append(spark.createDataFrame([(4, 1_700_200_000)], "ClusterId long, CompletionDate long"))
+    assert [r["ClusterId"] for r in archive.newest(2).collect()] == [4, 2]
+    assert [r[0] for r in engine.sql("SELECT ClusterId FROM history ORDER BY ClusterId DESC LIMIT 2").collect()] == [4, 3]
+    assert archive.rows(1_700_000_050, 1_700_100_000).count() == 1
+    with pytest.raises(QueryError):
+        engine.sql("SELECT ClusterId FROM history AS OF '-1h'")
+    with pytest.raises(QueryError):
+        engine.sql("DELETE FROM history")
+    assert archive.retain(1_700_300_000, age=150_000) == [0, 1_700_000_000 // 86_400]
+    shell = Shell(engine)
+    shell.table = "history"
+    assert shell.run(".retention 1") == "days kept: 1, dropped: 0"
+    assert "ClusterId" in shell.run(".suggest")
+
+
+def test_snapshot_and_follower(engine, spark, tmp_path):
+    from tidemark.engine import Engine
+    from tidemark.sources.snapshots import apply_events, restore, snapshot
+
+    engine.sql("CREATE TABLE t")
+    engine.sql("INSERT INTO t (Key, a) VALUES ('x', 1)")
+    assert [snapshot(spark, engine.root, f"file://{tmp_path}/snap", str(k), keep=2) for k in range(3)][-1] == ["1", "2"]
+    restore(spark, f"file://{tmp_path}/snap/2", f"file://{tmp_path}/again")
+    other = Engine(spark, f"file://{tmp_path}/again")
+    assert tuple(other.sql("SELECT Key, a FROM t").first()) == ("x", 1)
+    cursor = apply_events(other.log("copy"), engine.log("t").events(), 0)
+    engine.sql("INSERT INTO t (Key, a) VALUES ('y', 2)")
+    engine.sql("DELETE FROM t WHERE Key = 'x'")
+    again = apply_events(other.log("copy"), engine.log("t").events(), cursor)
+    assert again == apply_events(other.log("copy"), engine.log("t").events(), again)
+    assert [tuple(r) for r in other.sql("SELECT Key, a FROM copy").collect()] == [("y", 2)]
+    reset = engine.log("t").events().limit(1).withColumn("_op", F.lit("reset")).withColumn("_seq", F.lit(again + 1).cast("long"))
+    apply_events(other.log("copy"), reset, again)
+    assert other.sql("SELECT COUNT(*) AS n FROM copy").first()[0] == 0

@@ -16,6 +16,7 @@ from .operators.timeline import latest
 from .plans import nodes as N
 from .plans.lexer import QueryError
 from .plans.parser import parse
+from .sources.archive import Archive
 from .sources.changelog import META, ChangeLog
 
 KEY = "Key"
@@ -86,6 +87,7 @@ class Engine:
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
         self.frames: dict[str, DataFrame] = {}
         self.views: dict[str, N.Create] = {}
+        self.archives: dict[str, Archive] = {}
         self.indexes: dict[tuple[str, str], str] = {}
         self.pending: list[DataFrame] | None = None
         self.bound: str | None = None
@@ -97,13 +99,17 @@ class Engine:
         """Make a frame readable under a name."""
         self.frames[name.lower()] = df
 
+    def archive(self, name: str, time: str) -> Archive:
+        """An archive table; a name of its own, apart from the other tables."""
+        return self.archives.setdefault(name.lower(), Archive(self.spark, f"{self.root}/archives", name.lower(), time))
+
     def log(self, name: str) -> ChangeLog:
         return ChangeLog(self.spark, f"{self.root}/tables", name.lower())
 
     def tables(self) -> list[str]:
         fs, path = self.log("x")._fs(f"{self.root}/tables")
         stored = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted({*self.frames, *self.views, *stored})
+        return sorted({*self.frames, *self.views, *self.archives, *stored})
 
     def table(self, name: str, as_of: str | None = None) -> DataFrame:
         low = name.lower()
@@ -113,6 +119,10 @@ class Engine:
             if as_of is not None:
                 raise QueryError(f"AS OF is not supported on {name}: it has no history")
             return self.frames[low]
+        if low in self.archives:
+            if as_of is not None:
+                raise QueryError(f"AS OF is not supported on the archive {name}")
+            return self.archives[low].rows()
         log = self.log(low)
         if not log.exists():
             raise QueryError(f"no such table {name!r}")
@@ -182,7 +192,7 @@ class Engine:
 
     def _commit(self, table: str, events: DataFrame) -> int:
         low = table.lower()
-        if low in self.frames or low in self.views:
+        if low in self.frames or low in self.views or low in self.archives:
             raise QueryError(f"{table} is read-only")
         if self.pending is not None:
             if self.bound not in (None, low):

@@ -116,6 +116,27 @@ class Shell:
     def do_exporters(self) -> str:
         return "\n".join(str(q.name or q.id) for q in self.engine.spark.streams.active) or "none"
 
+    def do_retention(self, days: str = "", table: str = "") -> str:
+        """Drop the oldest days of an archive beyond so many."""
+        archive = self.engine.archives.get((table or self.table).lower())
+        if archive is None:
+            return "not an archive"
+        gone = archive.retain(0, most_days=int(days)) if days else []
+        return f"days kept: {len(archive.days())}, dropped: {len(gone)}"
+
+    do_rotate = do_retention
+
+    def do_suggest(self, table: str = "") -> str:
+        """Columns of small cardinality are good to partition by, those with many values to sort by."""
+        df = self.engine.table(table or self.table)
+        shown = [c for c in df.columns if not c.startswith("_")]
+        row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(f"`{c}`").alias(c) for c in shown]).first()
+        return "\n".join(f"{c} {'partition' if row[c] <= 100 and row[c] * 100 < row['_n'] else 'sort' if row[c] * 2 > row['_n'] else '-'}" for c in shown)
+
+    def do_exporter(self, name: str = "") -> str:
+        found = [q for q in self.engine.spark.streams.active if name in (q.name, str(q.id))]
+        return str(found[0].lastProgress) if found else "no such exporter"
+
     def do_analyze(self) -> str:
         return "statistics come from the files"
 
