@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact, itq, kdshard, minhash, packing, pst, spm, tokenfile, toxicity, warc
 
@@ -52,7 +53,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"), (~F.col("rejected")).alias("kept"))
 
 
 def op10_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
