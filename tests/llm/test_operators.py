@@ -102,6 +102,15 @@ def test_minhash(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_shingles_of_few_words(n):
+    """A text alone in its batch has the same set as among others."""
+    text = " ".join("abcdefgh"[:n])
+    sets, at = minhash.shingle_sets(pa.array(["x y z x y z x", text, "q"]), 5)
+    alone, _ = minhash.shingle_sets(pa.array([text]), 5)
+    assert sets[at[1] : at[2]].tolist() == alone.tolist() and len(alone) == (n - 4 if n >= 5 else min(n, 1))
+
+
 def test_minhash_families():
     """Blocks give the same intersections as sets."""
     rng = np.random.default_rng(1)

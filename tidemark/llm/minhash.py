@@ -46,7 +46,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(first)
     n = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     value = np.zeros(len(word), U64)
-    for k in range(width):
+    for k in range(min(width, len(word))):
         value[: len(word) - k] += word[k:] * U64((0xA24BAED4963EE407 * (2 * k + 1) + 2 * k) % (1 << 64) | 1)
     keep = np.arange(n.sum()) + np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, int)
     out = K.mix(value[keep])
