@@ -81,6 +81,16 @@ _COMPONENTS = """, side AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM lin
 reach(a, b) AS (SELECT a, b FROM side UNION SELECT reach.a, side.b FROM reach JOIN side ON reach.b = side.a)"""
 
 ORACLE_SQL = {
+    "op1_warc_round_trip": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(b) AS payload_bytes, max(page_id) OVER (PARTITION BY b) AS response,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM d""",
     "op3_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
