@@ -19,7 +19,6 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
