@@ -33,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_roots[0]}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Keep Arrow batches to about `size` bytes, unless the session has a bound of its own, so that a Python worker's
+    memory doesn't grow with the length of texts."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(size))
+
+
 class Scratch:
     """A folder of intermediates for one operator call; dropped explicitly or when the driver exits."""
 
@@ -40,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        bound_batches(spark)
         atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .scratch import bound_batches
 
 PREFIXES = (5, 6)
 
@@ -170,6 +171,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 10_000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ClassifierChain:
     """Fit on at most `sample` labelled texts.  `categories` names, in chain order, a label column and the value
     that is positive."""
+    bound_batches(docs.sparkSession)
     names = list(categories)
     wanted = [F.max((F.col(f"`{c}`") == v).cast("double")).alias(f"y{k}") for k, (c, v) in enumerate(categories.values())]
     chosen = labels.filter(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("id")).agg(*wanted)
