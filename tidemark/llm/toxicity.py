@@ -104,6 +104,7 @@ class ClassifierChain:
         known, count = np.unique(value, return_counts=True)
         vocabulary = known[count >= least]
         row, col = cls._lookup(vocabulary, value, at)
+        del value, known, count
         n = len(at) - 1
         dense = np.zeros((n, 0))
         models = []
@@ -116,7 +117,7 @@ class ClassifierChain:
                 use, away = seen & (fold != f), fold == f
                 model = cls._fit_rows(row, col, use, len(vocabulary), dense, y)
                 inside = away[row]
-                number = np.cumsum(away) - 1
+                number = (np.cumsum(away) - 1).astype(np.int32)
                 out[away] = model.probability(number[row[inside]], col[inside], int(away.sum()), dense[away])
             models.append(cls._fit_rows(row, col, seen, len(vocabulary), dense, y))
             dense = np.concatenate((dense, out[:, None]), 1)
@@ -130,12 +131,12 @@ class ClassifierChain:
             return row[:0], row[:0]
         where = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1)
         hit = vocabulary[where] == value
-        return row[hit], where[hit]
+        return row[hit].astype(np.int32), where[hit].astype(np.int32)
 
     @staticmethod
     def _fit_rows(row, col, use, size, dense, y) -> LinearModel:
         inside = use[row]
-        number = np.cumsum(use) - 1
+        number = (np.cumsum(use) - 1).astype(np.int32)
         return LinearModel.fit(number[row[inside]], col[inside], int(use.sum()), size, dense[use], y[use])
 
     @staticmethod
@@ -168,7 +169,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), lists], names=[*(batch.schema.names[i] for i in keep), "features"])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 10_000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ClassifierChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 7000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ClassifierChain:
     """Fit on at most `sample` labelled texts.  `categories` names, in chain order, a label column and the value
     that is positive."""
     bound_batches(docs.sparkSession)
@@ -185,7 +186,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[st
     lists = rows.column("features").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
     y = np.stack([rows.column(f"y{k}").to_numpy().astype(float) for k in range(len(names))], 1)
-    return ClassifierChain.fit(names, lists.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at - at[0], y, rows.column("fold").to_numpy())
+    fold = rows.column("fold").to_numpy()
+    value = lists.values.to_numpy().view(np.uint64)[at[0] : at[-1]]
+    return ClassifierChain.fit(names, value, at - at[0], y, fold)
 
 
 def _predict(chain: ClassifierChain):
