@@ -296,6 +296,44 @@ def test_suffix_tree(spark):
     assert pst.suffix_tree_scores(empty(spark)).count() == 0
 
 
+def test_suffix_tree_of_all_words(spark, monkeypatch):
+    """The whole tree by brute force, and a context that is rare in a large corpus but in every partition of it."""
+    monkeypatch.setattr(pst, "PART_TOKENS", 500)
+    rng = random.Random(3)
+    texts = corpus(5, 80)[:-1] + ["quokkas munch leaves at dusk"] * 9 + [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=20_000))]
+    rows = {r["doc_id"]: r for r in pst.suffix_tree_scores(frame(spark, texts)).collect()}
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in words(t)}), 1)}
+    alphabet = pst.Alphabet(np.arange(len(number), dtype=np.int64))
+    seen = [[0, *(number[w] for w in words(t)), 0] for t in texts]
+    train = [s for i, s in enumerate(seen) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(x for s in train for x in s[1:])
+    root = np.array([c[x] + 1.0 for x in range(alphabet.size)]) / (sum(c.values()) + len(c) + 1)
+    tree = pst.SuffixTree(alphabet, root)
+
+    def code(s, i, k):
+        return sum(s[i - 1 - j] * alphabet.size**j for j in range(k))
+
+    for k in (1, 2, 3):
+        following = defaultdict(Counter)
+        for s in train:
+            for i in range(k, len(s)):
+                following[code(s, i, k)][s[i]] += 1
+        for context, counts in following.items():
+            if counts.total() >= 2 and (often := {x: n for x, n in counts.items() if n >= 2}):
+                tree.grow(k, context, counts.total(), often)
+    assert all(len(x) > 5 for x in tree.codes[1:])
+    for i, s in enumerate(seen):
+        want = sum(math.log10(tree.probability(tree.suffix(code(s, j, min(j, 3)), min(j, 3)), s[j])) for j in range(1, len(s)))
+        assert rows[i]["score"] == pytest.approx(want, rel=1e-9), texts[i]
+
+
+def test_suffix_tree_without_words_or_training(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    for rows in ([(i, "a b c") for i in held], [(1, None), (None, ""), (3, None)], [(1, "a"), (3, "b c d e")]):
+        got = pst.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and all(r["train_tokens"] or r["score"] == r["base_score"] == 0 for r in got)
+
+
 def test_suffix_tree_distributions_sum_to_one():
     alphabet = pst.Alphabet(np.arange(5, dtype=np.int64))
     root = np.array([0.1, 0.2, 0.2, 0.1, 0.1, 0.1, 0.2])

@@ -1,20 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Tokens are the words of a text after lower-casing A-Z, then one end token.  The tree's alphabet is the `alphabet`
-most frequent training words, the end token (which also stands before a text) and one class for all other words;
-inside the class a word has its smoothed share of all training tokens.  A context of up to `depth` symbols is a
-candidate if it makes up at least `least` of the training tokens, so a level has at most ``1 / least`` of them, and
-at most ``10 / least`` next symbols (joint share of at least a tenth of `least`) are kept a level: that bounds what
-reaches the driver and the tasks, whatever the corpus.  A candidate is retained as a state if its next-symbol
+Tokens are the words of a text after lower-casing A-Z, then one end token; an end also stands before a text.  Every
+word is a symbol.  A context of up to `depth` symbols is a candidate if it precedes at least `least` training tokens,
+and lists next symbols that follow it at least twice.  A candidate is retained as a state if its next-symbol
 distribution diverges from that of its longest retained proper suffix by more than a description of its symbols
 costs.  A state's distribution is smoothed with its suffix's, and what it doesn't list falls back to the suffix with
-the mass that is left, so every state's distribution sums to one.  A text's score is the sum over its tokens of
-log10 of the probability in the longest retained suffix of what precedes.
+the mass that is left, so every state's distribution sums to one.  The root gives a word its smoothed share of all
+training tokens.  A text's score is the sum over its tokens of log10 of the probability in the longest retained
+suffix of what precedes.
 
 Texts are turned once into blocks: the distinct words of about `BLOCK` bytes of text, and each text as numbers into
-that list.  Counts of all words come from a grouped sum over the blocks' lists; for scores, each block asks for the
-counts of its distinct words by a join.  So what is gathered grows with the corpus and no table of words is ever
-broadcast or held in one task.
+that list, in a file of its own.  Words and the tree are partitioned by hash, and blocks and partitions exchange packed
+messages.  In the first round a block sends its distinct words and hears their counts.  Then the tree grows in one round
+a level: every block sends its distinct contexts of that length, and pairs of context and next symbol with the pair's
+probability in the context's suffix, to the contexts' partitions; these test the contexts and reply with what changes.
+Pairs and contexts whose shorter ones are too rare already aren't sent.  So what is gathered grows with the corpus
+and no table of words or contexts is ever collected, broadcast or held in one task.
 
 Base score: sum over tokens of ``log10((c + 1) / (N + V + 1))``.  Null and empty texts have the end token alone.  A
 text with a null id takes the id's crc32 as that of an empty string.  Repeated rows count and are scored each.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .files import AtomicOutput, open_input
 from .scratch import Scratch
 
 U64 = np.uint64
@@ -42,8 +44,12 @@ U64 = np.uint64
 BLOCK = 10 << 20
 #: Pseudo-counts of a state's suffix distribution.
 PRIOR = 20.0
+#: Training tokens for each partition of the tree.
+PART_TOKENS = 2 << 20
 END_HASH = int(K.span_hashes(np.array([10], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])  # no word is a line feed
-_BLOCK_KIND = "block long, ids array<long>, held array<boolean>, sizes array<int>, words array<long>, train array<int>, seq binary"
+_BLOCK_KIND = "block long, path string, texts long, tokens long"
+_SENT_KIND = "block long, target long, data binary"
+_REPLY_KIND = "round int, block long, target long, data binary, fresh long"
 
 
 def _pack_numbers(x: np.ndarray) -> bytes:
@@ -57,51 +63,54 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
     return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, held, text) as blocks."""
-    part, number = TaskContext.get().partitionId(), 0
-    held_rows: list[tuple] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held_rows, size, number
-        ids, held, sizes, hashes = zip(*held_rows, strict=True)
-        of, words = pd.factorize(np.concatenate(hashes))
-        counts = np.bincount(of, minlength=len(words))
-        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        sizes, held = np.concatenate(sizes), np.concatenate(held)
-        trained = np.bincount(of[np.repeat(~held, sizes)], minlength=len(words))
-        out = pa.RecordBatch.from_pylist(
-            [
-                {
-                    "block": part << 32 | number,
-                    "ids": [x for y in ids for x in y],
-                    "held": held,
-                    "sizes": sizes.astype(np.int32),
-                    "words": words[order].view(np.int64),
-                    "train": trained[order].astype(np.int32),
-                    "seq": _pack_numbers(rank[of]),
-                }
-            ],
-            pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("train", pa.list_(pa.int32())), ("seq", pa.binary())]),
-        )
-        held_rows, size, number = [], 0, number + 1
-        return out
+def _blocks(root: str):
+    """Rows (id, held, text) as blocks: a file each, the training texts and their tokens."""
 
-    for batch in K.chunks(batches, "text"):
-        words, first = K.words(batch.column(2))
-        held_rows.append((batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), np.diff(first), words))
-        size += len(K.buffers(batch.column(2))[0])
-        if size >= BLOCK or len(words) > BLOCK:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        held_rows: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held_rows, size, number
+            ids, held, sizes, hashes = zip(*held_rows, strict=True)
+            of, words = pd.factorize(np.concatenate(hashes))
+            order = np.argsort(-np.bincount(of, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            sizes, held = np.concatenate(sizes), np.concatenate(held)
+            path = f"{root}/block-{part:06d}-{number:06d}"
+            row = {"ids": [x for y in ids for x in y], "held": held, "sizes": sizes.astype(np.int64), "words": words[order].view(np.int64), "seq": _pack_numbers(rank[of])}
+            kinds = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("seq", pa.binary())])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kinds, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(pa.RecordBatch.from_pylist([row], kinds))
+            out = AtomicOutput(path)
+            try:
+                out.write(sink.getvalue().to_pybytes())
+            except BaseException:
+                out.abandon()
+                raise
+            out.commit()
+            texts = int((~held).sum())
+            tokens = int(sizes[~held].sum()) + texts
+            block, held_rows, size, number = part << 32 | number, [], 0, number + 1
+            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "path": [path], "texts": pa.array([texts], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+
+        for batch in K.chunks(batches, "text"):
+            words, first = K.words(batch.column(2))
+            held_rows.append((batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), np.diff(first), words))
+            size += len(K.buffers(batch.column(2))[0])
+            if size >= BLOCK or len(words) > BLOCK:
+                yield flush()
+        if held_rows:
             yield flush()
-    if held_rows:
-        yield flush()
+
+    return run
 
 
 class Alphabet:
-    """Symbol 0 is the end, 1 to K are words, K + 1 is any other word."""
+    """Of a tree in memory: symbol 0 is the end, 1 to K are words, K + 1 is any other word."""
 
     def __init__(self, words: np.ndarray):
         self.words = np.sort(words)
@@ -134,29 +143,11 @@ def _contexts(s: np.ndarray, at: np.ndarray, depth: int, base: int) -> np.ndarra
     return code
 
 
-def _level(alphabet: Alphabet, depth: int, contexts: np.ndarray):
-    """Counts of next symbols after the given contexts, over training texts."""
-    base = alphabet.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                held, sizes, words, seq = (batch.column(batch.schema.get_field_index(x))[row] for x in ("held", "sizes", "words", "seq"))
-                held, sizes = held.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy()
-                s, at = _sequence(_unpack_numbers(seq.as_py()), sizes, alphabet.symbols(words.values.to_numpy()))
-                code = _contexts(s, at, depth, base)
-                code[np.repeat(held, sizes + 2)] = -1
-                code[at[:-1]] = -1
-                where = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
-                good = contexts[where] == code
-                joint, count = np.unique(where[good] * base + s[good], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"context": pa.array(joint // base), "symbol": pa.array(joint % base), "count": pa.array(count.astype(np.int64))})
-
-    return run
-
-
 class SuffixTree:
-    """Retained states with smoothed next-symbol distributions; state 0 is the root."""
+    """Retained states with smoothed next-symbol distributions; state 0 is the root.
+
+    The tree in memory, for small alphabets; `_grow` decides alike for a partition of the contexts.
+    """
 
     def __init__(self, alphabet: Alphabet, root: np.ndarray):
         self.alphabet = alphabet
@@ -254,100 +245,286 @@ class FrozenTree:
         return out
 
 
-def _scores(alphabet: Alphabet, tree: FrozenTree | None, counts: np.ndarray, end: int, total: int, distinct: int):
-    """Cogrouped by block: the block's row, and counts of its other words."""
-    log_all = math.log10(total + distinct + 1)
-
-    def run(left, right):
-        left = left.combine_chunks()
-        words, sizes, held = (left.column(x).combine_chunks() for x in ("words", "sizes", "held"))
-        words, sizes, held = words.values.to_numpy(), sizes.values.to_numpy(), held.values.to_numpy(zero_copy_only=False)
-        symbol = alphabet.symbols(words)
-        other = alphabet.size - 1
-        count = np.zeros(len(words), np.int64)
-        count[symbol < other] = counts[symbol[symbol < other]]
-        if right.num_rows:
-            count[right.column("number").to_numpy()] = right.column("count").to_numpy()
-        log_word = np.log10(count + 1.0) - log_all
-        seq = _unpack_numbers(left.column("seq")[0].as_py())
-        s, at = _sequence(seq, sizes, symbol)
-        first = np.concatenate(([0], np.cumsum(sizes)))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte values, each in byte planes."""
+    out = [np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()]
+    out += [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = raw[8 : 8 * len(kinds) + 8].view("<i8")
+    ends = 8 * (np.cumsum(sizes) + len(kinds) + 1)
+    return [np.ascontiguousarray(raw[e - 8 * n : e].reshape(8, -1).T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds, strict=True)]
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more symbol before it."""
+    x = a * U64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> U64(32))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+def _targets(sorted_hashes: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
+    """The partitions of hashes, in their order: number, first hash, end."""
+    to = ((sorted_hashes >> U64(32)) * U64(partitions) >> U64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(to, prepend=-1))
+    return list(zip(to[starts].tolist(), starts.tolist(), np.append(starts, len(to))[1:].tolist(), strict=True))
+
+
+class _Block:
+    """A block, and the probabilities of its symbols in the tree as far as it has grown."""
+
+    def __init__(self, path: str):
+        with open_input(path) as stream:
+            row = pa.ipc.open_stream(pa.py_buffer(stream.read())).read_all().combine_chunks()
+        self.ids, self.held, self.sizes, words = (row.column(x).chunk(0).values.to_numpy(zero_copy_only=False) if x != "ids" else row.column(x).chunk(0).values for x in ("ids", "held", "sizes", "words"))
+        self.hashes = np.concatenate(([END_HASH], words)).view(U64)
+        self.order = np.argsort(self.hashes[1:]) + 1
+        seq = _unpack_numbers(row.column("seq")[0].as_py())
+        self.number, self.at = _sequence(seq, self.sizes, np.arange(1, len(words) + 1))
+        width = self.sizes + 2
+        self.place = np.arange(len(self.number)) - np.repeat(self.at[:-1], width)
+        self.train = ~np.repeat(self.held, width)
+
+    def words(self, partitions: int) -> Iterator[tuple[int, bytes]]:
+        """For each partition of the words: words and their counts in training texts."""
+        counts = np.bincount(self.number[self.train], minlength=len(self.hashes))[self.order]
+        hashes = self.hashes[self.order]
+        for to, a, b in _targets(hashes, partitions):
+            yield to, _pack(hashes[a:b], counts[a:b])
+
+    def count(self, replies: list[bytes], end: int, total: int, distinct: int, few: float, cut: tuple[int, int] | None) -> None:
+        """The root, from all words' counts."""
+        counts = np.full(len(self.hashes), end)
+        counts[self.order] = np.concatenate([_unpack(x, np.int64)[0] for x in replies]) if replies else []
+        self.known = (counts > 0)[self.number]
+        self.root = (counts + 1) / (total + distinct + 1)
+        self.p = self.root[self.number]
+        often = counts >= few
+        if cut is not None:
+            often[1:] &= (counts[1:] > cut[0]) | (counts[1:] == cut[0]) & (self.hashes[1:].view(np.int64) <= cut[1])
+        self.often = often[self.number]  # the symbol after the context of the last round, in all training texts
+        self.context = np.zeros(len(self.number), U64)
+        self.level = 0
+
+    def deeper(self) -> None:
+        """Go on to contexts with one more symbol."""
+        self.level += 1
+        k = self.level
+        self.context[k:] = _mix(self.context[k:], self.hashes[self.number[:-k]])
+        live = self.place >= k
+        live[1:] &= self.often[:-1]  # how often the context itself occurs
+        self.where = np.flatnonzero(live)
+        self.contexts, self.of = np.unique(self.context[self.where], return_inverse=True)
+        pairs = self.often[self.where]
+        self.pair_where = self.where[pairs]
+        self.pairs, self.pair_of = np.unique(self.of[pairs] * len(self.hashes) + self.number[self.pair_where], return_inverse=True)
+
+    def messages(self, partitions: int) -> Iterator[tuple[int, bytes]]:
+        """For each of the tree's partitions: contexts, their training tokens and numbers of pairs; the distinct next
+        symbols; the pairs' symbols as numbers into these, counts, and probabilities in the context's suffix, which
+        at the first level are the root's of the distinct symbols."""
+        n = len(self.contexts)
+        totals = np.bincount(self.of[self.train[self.where]], minlength=n)
+        counts = np.bincount(self.pair_of[self.train[self.pair_where]], minlength=len(self.pairs))
+        below = np.empty(len(self.pairs))
+        below[self.pair_of] = self.p[self.pair_where]
+        context, symbol = self.pairs // len(self.hashes), self.pairs % len(self.hashes)
+        each = np.bincount(context, minlength=n)
+        firsts = np.concatenate(([0], np.cumsum(each)))
+        for to, a, b in _targets(self.contexts, partitions):
+            x, y = firsts[a], firsts[b]
+            listed, of = np.unique(symbol[x:y], return_inverse=True)
+            yield to, _pack(self.contexts[a:b], totals[a:b], each[a:b], self.hashes[listed], of, counts[x:y], self.root[listed] if self.level == 1 else below[x:y])
+
+    def hear(self, replies: list[bytes]) -> None:
+        """Replies in the order of the partitions."""
+        self.often = np.zeros(len(self.number), bool)
+        if not replies:
+            return
+        got = [_unpack(x, np.float64, np.int64, np.float64) for x in replies]
+        back, marks, listed = (np.concatenate(x) for x in zip(*got, strict=True))
+        self.p[self.where] *= back[self.of]
+        p = np.zeros(len(marks))
+        p[marks & 2 > 0] = listed
+        mark = marks[self.pair_of]
+        self.often[self.pair_where] = mark & 1 > 0
+        own = mark & 2 > 0
+        self.p[self.pair_where[own]] = p[self.pair_of[own]]
+
+
+def _count(sent: pa.Table) -> pa.Table:
+    """One partition of the words: every block's message to a reply; the first has the number of distinct words."""
+    got = [_unpack(x.as_py(), U64, np.int64) for x in sent.column("data")]
+    words, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+    distinct, of = np.unique(words, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, of, counts)
+    cuts = np.cumsum([len(x) for x, _ in got])[:-1]
+    fresh = [int((total > 0).sum()), *[0] * (len(got) - 1)]
+    return _replies(0, sent, [_pack(x) for x in np.split(total[of], cuts)], fresh)
+
+
+def _replies(level: int, sent: pa.Table, data: list[bytes], fresh: list[int]) -> pa.Table:
+    return pa.table({"round": pa.array([level] * len(data), pa.int32()), "block": sent.column("block"), "target": sent.column("target"), "data": pa.array(data, pa.binary()), "fresh": pa.array(fresh, pa.int64())})
+
+
+def _grow(level: int, least: float, few: float):
+    """One partition of the tree's contexts of a level: every block's message to a reply."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        got = []
+        for x in sent.column("data"):
+            context, total, each, listed, at, count, below = _unpack(x.as_py(), U64, np.int64, np.int64, U64, np.int64, np.int64, np.float64)
+            got.append((context, total, each, listed[at], count, below[at] if level == 1 else below))
+        context, total, each, symbol, count, below = (np.concatenate(x) for x in zip(*got, strict=True))
+        contexts, of = np.unique(context, return_inverse=True)
+        n = len(contexts)
+        totals = np.zeros(n, np.int64)
+        np.add.at(totals, of, total)
+        owner = np.repeat(of, each)
+        order = np.lexsort((symbol, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(owner[order]) != 0) | (symbol[order][1:] != symbol[order][:-1])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        first = order[new]
+        g, q = owner[first], below[first]
+        c = np.zeros(len(first), np.int64)
+        np.add.at(c, pair, count)
+        often = c >= few
+        t = np.maximum(totals, 1)
+        ratio = np.log(np.maximum(c, 1) / t[g] / q)
+        keep = often & (totals[g] >= least) & (c * np.abs(ratio) > 0.5 * np.log(t[g] + 1))
+        add = lambda x: np.bincount(g[keep], x[keep], minlength=n)
+        kept, rest, rest_below, gain = np.bincount(g[keep], minlength=n), totals - add(c), 1 - add(q), add(c * ratio)
+        both = (rest > 0) & (rest_below > 0)
+        gain[both] += rest[both] * np.log(rest[both] / t[both] / rest_below[both])
+        state = (kept > 0) & (gain >= 0.5 * (kept + 1) * np.log(t + 1)) & (rest_below > 0)
+        listed = (c + PRIOR * q) / (t[g] + PRIOR)
+        back = np.where(state, np.maximum(1 - add(listed), 1e-12) / np.maximum(rest_below, 1e-12), 1.0)
+        own = keep & state[g]
+        marks = often + 2 * own
+        replies, i, j = [], 0, 0
+        for x in got:
+            a, b = of[i : i + len(x[0])], pair[j : j + len(x[3])]
+            replies.append(_pack(back[a], marks[b], listed[b[own[b]]]))
+            i, j = i + len(a), j + len(b)
+        return _replies(level, sent, replies, [0] * len(replies))
+
+    return run
+
+
+def _sent(block: int, messages: Iterator[tuple[int, bytes]]) -> pa.Table:
+    rows = list(messages)
+    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "target": pa.array([t for t, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
+
+
+def _ask(partitions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _sent(row["block"], _Block(row["path"]).words(partitions)).to_batches()
+
+    return run
+
+
+def _send(load, partitions: int):
+    """Cogrouped by block: its path, and the replies of earlier rounds."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = load(left, right)
+        block.deeper()
+        return _sent(left.column("block")[0].as_py(), block.messages(partitions))
+
+    return run
+
+
+def _scores(load, total: int):
+    """Cogrouped by block: its path, and all replies."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = load(left, right)
+        inner = block.place > 0
 
         def sums(x: np.ndarray) -> np.ndarray:
-            run_ = np.concatenate(([0], np.cumsum(x)))
-            return run_[first[1:]] - run_[first[:-1]]
-
-        log_end = math.log10(end + 1) - log_all
-        base = sums(log_word[seq]) + log_end
-        known = sums((count > 0)[seq].astype(np.int64)) + (end > 0)
-        if tree is None:
-            score = base
-        else:
-            run_ = np.concatenate(([0], np.cumsum(tree.score(s, at))))
-            score = run_[at[1:]] - run_[at[:-1]] + sums(np.where(symbol == other, log_word - tree.log_root[other], 0.0)[seq])
-        n = len(sizes)
+            run_ = np.concatenate(([0], np.cumsum(np.where(inner, x, 0))))
+            return run_[block.at[1:]] - run_[block.at[:-1]]
+
+        n = len(block.sizes)
         return pa.table(
             {
-                "doc_id": left.column("ids").combine_chunks().values,
-                "held_out": pa.array(held, pa.bool_()),
-                "n_tokens": pa.array(sizes.astype(np.int64) + 1),
-                "n_known": pa.array(known.astype(np.int64)),
+                "doc_id": block.ids,
+                "held_out": pa.array(block.held, pa.bool_()),
+                "n_tokens": pa.array(block.sizes + 1),
+                "n_known": pa.array(sums(block.known.astype(np.int64)).astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, total, np.int64)),
-                "base_score": pa.array(base),
-                "score": pa.array(score),
+                "base_score": pa.array(sums(np.log10(block.root)[block.number])),
+                "score": pa.array(sums(np.log10(block.p))),
             }
         )
 
     return run
 
 
-def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, alphabet: int = 4096, depth: int = 3, least: float = 1 / 5000) -> DataFrame:
+def _cut(blocks: DataFrame, alphabet: int) -> tuple[int, int]:
+    """Count and hash of the last of the `alphabet` most frequent training words."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for _, data in _Block(row["path"]).words(1):
+                    hashes, counts = _unpack(data, U64, np.int64)
+                    yield pa.RecordBatch.from_pydict({"word": hashes.view(np.int64), "count": counts})
+
+    top = blocks.mapInArrow(words, "word long, count long").filter("count > 0").groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(alphabet)
+    last = top.orderBy("count", F.desc("word")).first()
+    return (last["count"], last["word"]) if last else (1 << 62, 0)
+
+
+def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, alphabet: int | None = None, depth: int = 3, least: float = 2) -> DataFrame:
     """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts are held out if crc32 of their id as text, modulo `folds`, is `fold`; the others train.
+    Texts are held out if crc32 of their id as text, modulo `folds`, is `fold`; the others train.  A `least` below 1 is
+    a share of the training tokens, and a tenth of it that of listed next symbols.  With `alphabet`, only that many
+    of the most frequent words are in contexts and listed.
     """
     scratch = Scratch(docs.sparkSession, "pst")
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.crc32(name) % folds == fold).alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    blocks = scratch.save(rows.mapInArrow(_blocks, _BLOCK_KIND), "blocks")
-    pairs = F.explode(F.arrays_zip("words", "train")).alias("x")
-    vocabulary = blocks.select(pairs).select(F.col("x.words").alias("word"), F.col("x.train").cast("long").alias("count")).filter("count > 0").groupBy("word").agg(F.sum("count").alias("count"))
-    vocabulary = scratch.save(vocabulary, "vocabulary")
-    words = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
-    end = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("n")).first()["n"]
-    total, distinct = words["n"] + end, words["v"] + (end > 0)
-
-    top = vocabulary.orderBy(F.desc("count"), "word").limit(alphabet).toPandas()
-    symbols = Alphabet(top["word"].to_numpy(np.int64))
-    order = np.argsort(top["word"].to_numpy(np.int64))
-    counts = np.concatenate(([end], top["count"].to_numpy(np.int64)[order], [0]))
-    tree = None
-    if total:
-        root = (counts + 1.0) / (total + distinct + 1)
-        root[-1] = max(1 - root[:-1].sum(), 1 / (total + distinct + 1))
-        grown = SuffixTree(symbols, root)
-        rare = total - int(counts.sum())
-        contexts = np.flatnonzero(np.concatenate((counts[:-1], [rare])) >= max(2, least * total)).astype(np.int64)
-        for length in range(1, depth + 1):
-            if not len(contexts):
-                break
-            level = blocks.mapInArrow(_level(symbols, length, contexts), "context long, symbol long, count long").groupBy("context", "symbol").agg(F.sum("count").alias("count"))
-            level = scratch.save(level, f"level{length}")
-            whole = {r["context"]: r["n"] for r in level.groupBy("context").agg(F.sum("count").alias("n")).collect()}
-            kept = level.filter(F.col("count") >= max(2, least * total / 10)).collect()
-            nexts: dict[int, dict[int, int]] = {}
-            for r in kept:
-                nexts.setdefault(r["context"], {})[r["symbol"]] = r["count"]
-            for c in sorted(nexts):
-                grown.grow(length, int(contexts[c]), whole[c], nexts[c])
-            # a longer context: this one, then the symbol; its suffix must be a candidate as well
-            old = set(contexts.tolist())
-            longer = [(int(contexts[r["context"]]) * symbols.size + r["symbol"]) for r in kept if r["count"] >= max(2, least * total) and r["symbol"]]
-            contexts = np.array(sorted(x for x in longer if x % symbols.size**length in old), np.int64)
-        tree = grown.freeze()
-
-    asks = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    found = asks.join(vocabulary, "word").select(F.col("block").alias("of"), F.col("number").cast("long").alias("number"), "count")
-    asked = blocks.select("block", "ids", "held", "sizes", "words", "seq")
-    out = asked.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_scores(symbols, tree, counts, end, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = scratch.save(rows.mapInArrow(_blocks(scratch.path("texts")), _BLOCK_KIND), "blocks")
+    own = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("texts", "tokens")]).first()
+    end, total = own["texts"], own["tokens"]
+    partitions = total // PART_TOKENS + 1
+    counts = blocks.mapInArrow(_ask(partitions), _SENT_KIND).groupBy("target").applyInArrow(_count, _REPLY_KIND)
+    replies = scratch.save(counts, "counts")
+    distinct = replies.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("n")).first()["n"]
+    cut = None
+    if alphabet is not None and alphabet < distinct:
+        cut = _cut(blocks, alphabet)
+    distinct += end > 0
+    share = least * total if least < 1 else 0
+    few, least = max(2, share / 10), max(2, share, least)
+
+    def load(left: pa.Table, right: pa.Table) -> _Block:
+        block = _Block(left.column("path")[0].as_py())
+        heard: dict[int, list] = {}
+        for row in sorted(zip(*(right.column(x).to_pylist() for x in ("round", "target", "data")), strict=True)) if right.num_rows else ():
+            heard.setdefault(row[0], []).append(row[2])
+        block.count(heard.get(0, []), end, total, distinct, few, cut)
+        for level in range(1, max(heard, default=0) + 1):
+            block.deeper()
+            block.hear(heard.get(level, []))
+        return block
+
+    def over(replies: DataFrame, run, kind: str) -> DataFrame:
+        return blocks.select("block", "path").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, kind)
+
+    for level in range(1, depth + 1) if total else ():
+        got = over(replies, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, least, few), _REPLY_KIND)
+        replies = replies.unionByName(scratch.save(got, f"level{level}"))
+    out = over(replies, _scores(load, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
