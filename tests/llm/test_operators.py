@@ -431,6 +431,19 @@ def test_warc(spark, compress):
     assert small[101] == small[102] == "response"
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_long_heads(spark, tmp_path, compress):
+    urls = {1: "u", 2: "data:text/html," + "a%20b" * 60_000, 3: "v", 4: "x" * (1 << 16), 5: "w"}
+    df = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    assert sorted(r["page_id"] for r in warc.round_trip(df, compress).collect()) == list(urls)
+    files = warc.write_warc(df, f"file://{tmp_path}/a", compress)
+    files.write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    assert {r["page_id"]: r["url"] for r in warc.read_warc(files, range_bytes=10_000).collect()} == urls
+    with pytest.raises(ValueError, match="5 of 6 records"):
+        warc.read_warc(files.withColumn("records", files["records"] + 1))
+
+
 def test_warc_ranges(spark, tmp_path):
     """Small ranges, so that chains cross many of them."""
     data = b"".join(warc.record_bytes(i, "u", b"WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 5 + b"y" * (i * 37 % 400), None) for i in range(80))

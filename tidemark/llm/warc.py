@@ -42,7 +42,7 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 #: Every record's WARC-Date; runs make equal bytes.
 DATE = b"2024-01-01T00:00:00Z"
 RANGE_BYTES = 4 << 20
-#: A record's headers are shorter than this.
+#: Bytes read for a plain record's header at first.
 HEAD_BYTES = 1 << 16
 _STEP = 1 << 18
 
@@ -130,7 +130,7 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     """Header fields by lower-case name and the offset of the block; None if no record starts here."""
     if not MAGIC.match(data):
         return None
-    end = data.find(b"\r\n\r\n", 0, HEAD_BYTES)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {}
@@ -161,6 +161,18 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), pos - len(z.unused_data)
 
 
+def _plain_head(window: _Window, at: int) -> tuple[dict[str, str], int] | None:
+    """The header of a plain record at `at`, as far as it reaches."""
+    size = HEAD_BYTES
+    while True:
+        data = window.upto(at + size)[at - window.start : at - window.start + size]
+        if b"\r\n\r\n" in data:
+            return parse_head(data)
+        if not MAGIC.match(data) or at + size >= window.size or any(b":" not in line for line in data.split(b"\r\n")[1:-1]):
+            return None
+        size *= 4
+
+
 def _record(window: _Window, at: int, compress: bool) -> tuple[dict[str, str], bytes, int] | None:
     """Fields, block and end of the record at `at`."""
     if compress:
@@ -170,8 +182,7 @@ def _record(window: _Window, at: int, compress: bool) -> tuple[dict[str, str], b
             return None
         n = int(head[0]["content-length"])
         return head[0], got[0][head[1] : head[1] + n], got[1]
-    data = window.upto(at + HEAD_BYTES)
-    head = parse_head(data[at - window.start : at - window.start + HEAD_BYTES])
+    head = _plain_head(window, at)
     if not head:
         return None
     lo = at + head[1]
@@ -199,7 +210,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         got = _record(window, pos, True)
                         end = got[2] if got else None
                     else:  # the block needn't be read
-                        head = parse_head(window.upto(pos + HEAD_BYTES)[pos - f["lo"] : pos - f["lo"] + HEAD_BYTES])
+                        head = _plain_head(window, pos)
                         end = pos + head[1] + int(head[0]["content-length"]) + 4 if head else None
                     if end is not None and end <= f["bytes"]:
                         at.append(pos)
@@ -235,6 +246,24 @@ def _verified(ranges: DataFrame, scratch: Scratch) -> DataFrame:
     return entry.groupBy("path", "lo").agg(F.min("entry").alias("entry"))
 
 
+def _chain_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each range that are reached."""
+    for batch in batches:
+        for f in batch.to_pylist():
+            following, pos, n = dict(zip(f["at"], f["next"], strict=True)), f["entry"], 0
+            while pos in following:
+                pos, n = following[pos], n + 1
+            yield pa.RecordBatch.from_pydict({"path": [f["path"]], "n": pa.array([n], pa.int64())})
+
+
+def _check_records(files: DataFrame, wanted: DataFrame) -> None:
+    """Fail if a file has other than the records that `files` states."""
+    reached = wanted.select("path", "at", "next", "entry").mapInArrow(_chain_lengths, "path string, n long").groupBy("path").agg(F.sum("n").alias("n"))
+    wrong = files.join(reached, "path", "left").filter(F.col("records") != F.coalesce("n", F.lit(0))).select("path", "records", "n").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['path']}: {wrong['n'] or 0} of {wrong['records']} records can be read")
+
+
 def _extract(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +316,9 @@ def _row(path: str, pos: int, fields: dict[str, str], block: bytes, with_payload
 
 def read_warc(files: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of the files (path, bytes), verified: path, offset, page_id, url, record_type, payload_bytes,
-    payload_digest, refers_to, payload (null for revisits, and without `with_payload`)."""
+    payload_digest, refers_to, payload (null for revisits, and without `with_payload`).
+
+    If `files` states its `records`, as a manifest does, a file with other than these is an error."""
     spark = files.sparkSession
     scratch = Scratch(spark, "warc")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -297,6 +328,8 @@ def read_warc(files: DataFrame, with_payload: bool = True, range_bytes: int = RA
     ranges = scratch.save(cut.repartition(n, "path", "lo").mapInArrow(_scan, kind), "ranges")
     entry = scratch.save(_verified(ranges, scratch), "entries")
     wanted = ranges.join(entry, ["path", "lo"]).select("path", "bytes", "at", "next", "entry")
+    if "records" in files.columns:
+        _check_records(files, wanted)
     return wanted.repartition(n, "path", "entry").mapInArrow(_extract(with_payload), "path string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
