@@ -201,3 +201,19 @@ def test_snapshot_and_follower(engine, spark, tmp_path):
     reset = engine.log("t").events().limit(1).withColumn("_op", F.lit("reset")).withColumn("_seq", F.lit(again + 1).cast("long"))
     apply_events(other.log("copy"), reset, again)
     assert other.sql("SELECT COUNT(*) AS n FROM copy").first()[0] == 0
+
+
+def test_match_greedy_all_parts(spark, tmp_path):
+    from tidemark.queries import QUERIES
+
+    parts = [(k, float(900 + k * 37 % 500), k % 25) for k in range(1, 121)]
+    suppliers = [(k, float(1000 + k * 53 % 700), k % 25) for k in range(1, 91)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    taken, want = set(), {}
+    for key, price, size in parts:
+        free = [(-balance, s) for s, balance, nation in suppliers if s not in taken and balance >= price and size <= nation]
+        want[key] = min(free)[1] if free else None
+        taken.add(want[key])
+    got = {r["request"]: r["resource"] for r in QUERIES["match_greedy"](spark, str(tmp_path)).collect()}
+    assert got == want and len(taken) > 41
