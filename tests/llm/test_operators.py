@@ -385,6 +385,21 @@ def test_viterbi_finds_the_best_sum():
         assert sum(v.scores[i] for i in codec.viterbi.ids(word)) == pytest.approx(best(word))
 
 
+def test_keep_clean_shared_ids(spark):
+    """Clean rows with the id of a rejected row, null or repeated, stay."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("aeioulnrst", k=6)) for _ in range(200)]
+    clean = [" ".join(rng.choices(plain, k=40)) for _ in range(200)]
+    toxic = [" ".join(x for w in rng.choices(plain, k=20) for x in (w, "vilest")) for _ in range(200)]
+    texts = [x for pair in zip(clean, toxic, strict=True) for x in pair]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    more = [(None, "vilest " * 20), (None, clean[0]), (None, None), (1000, "vilest " * 20), (1000, clean[1])]
+    df = spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string")
+    rejected = {r["text"] for r in df.select("text", "doc_id").collect() if r["text"] and "vilest" in r["text"]}
+    kept = sorted(((r["doc_id"] or -1, r["text"] or "") for r in toxicity.keep_clean(df, labels).collect()))
+    assert kept == sorted((i or -1, t or "") for i, t in [*enumerate(texts), *more] if t not in rejected)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad, plain = ["vilest", "scorned", "rotter"], ["".join(rng.choices("aeioulnrst", k=6)) for _ in range(200)]

@@ -14,7 +14,8 @@ row and whole text.
 Null and empty texts have no features and get the models' constant, but are never rejected.  Rows with a null
 id are scored; they don't train.  Labels without a text and null labels don't train; of repeated labels the largest
 holds.  Without labels of both kinds a category gets the share of positives as probability (0 without labels).
-Repeated rows are scored each; rows that share an id with a rejected one go with it.  Empty tables give empty results.  Other columns are ignored.
+Repeated rows are scored each; what is removed is told by its text, not its id.  Empty tables give empty results.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,7 +217,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
     return out.toDF(id_col, *[f"p_{c}" for c in categories], "rejected")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` that are not rejected."""
-    gone = score_toxicity(docs, labels, id_col=id_col, **options).filter("rejected").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone["_gone"]), "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` whose text is not rejected; rows that share an id are told apart by their texts."""
+    chain = fit_chain(docs, labels, CATEGORIES, id_col=id_col, text_col=text_col, **options)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("id"), text.alias("text"))
+    kinds = "".join(f", p{k} double" for k in range(len(CATEGORIES)))
+    gone = rows.mapInArrow(_predict(chain), f"id binary{kinds}, rejected boolean").filter("rejected").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, F.unhex(F.sha2(text, 256)) == gone["_gone"], "left_anti")
