@@ -123,7 +123,7 @@ def scd2_gauge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def continuous_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A continuous aggregate over all events, sealed by a batch run of its stream."""
+    """A continuous aggregate over all events as a finished input: a batch grouping of all buckets, in which no row is late."""
     from .streaming.continuous import ContinuousAggregate
 
     return ContinuousAggregate("ts", 3600, ["event_type"], 600).rows(_read(spark, sf_dir, "events"))
