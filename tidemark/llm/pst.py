@@ -11,10 +11,11 @@ suffix of what precedes.
 
 Texts are turned once into blocks: the distinct words of about `BLOCK` bytes of text, and each text as numbers into
 that list, in a file of its own.  Words and the tree are partitioned by hash, and blocks and partitions exchange packed
-messages.  In the first round a block sends its distinct words and hears their counts.  Then the tree grows in one round
+messages.  In the first round a block sends its distinct words and hears their counts and numbers.  Then the tree grows in one round
 a level: every block sends its distinct contexts of that length, and pairs of context and next symbol with the pair's
 probability in the context's suffix, to the contexts' partitions; these test the contexts and reply with what changes.
-Pairs and contexts whose shorter ones are too rare already aren't sent.  So what is gathered grows with the corpus
+Pairs and contexts whose shorter ones are too rare already aren't sent.  A block keeps what it heard in a file a round.
+Probabilities are exchanged in single precision, to which a state's distribution sums to one.  So what is gathered grows with the corpus
 and no table of words or contexts is ever collected, broadcast or held in one task.
 
 Base score: sum over tokens of ``log10((c + 1) / (N + V + 1))``.  Null and empty texts have the end token alone.  A
@@ -47,6 +48,9 @@ PRIOR = 20.0
 #: Training tokens for each partition of the tree.
 PART_TOKENS = 2 << 20
 END_HASH = int(K.span_hashes(np.array([10], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])  # no word is a line feed
+#: In a reply: whether contexts are states, the states' factors for the suffix and training tokens, marks of pairs
+#: (1: occurs often, 2: listed), the listed ones' counts.
+_REPLY = (np.bool_, np.float32, np.int64, np.uint8, np.int64)
 _BLOCK_KIND = "block long, path string, texts long, tokens long"
 _SENT_KIND = "block long, target long, data binary"
 _REPLY_KIND = "round int, block long, target long, data binary, fresh long"
@@ -180,7 +184,7 @@ class SuffixTree:
         while len(self.codes) <= length:
             self.codes.append({})
         parent = self.suffix(code % self.alphabet.size ** (length - 1), length - 1)
-        below = {x: self.probability(parent, x) for x in counts}
+        below = {x: float(np.float32(self.probability(parent, x))) for x in counts}
         kept = {x: n for x, n in counts.items() if n * abs(math.log(n / total / below[x])) > 0.5 * math.log(total + 1)}
         if not kept:
             return
@@ -195,7 +199,7 @@ class SuffixTree:
         self.codes[length][code] = len(self.parent)
         self.parent.append(parent)
         self.listed.append(listed)
-        self.back.append(max(left, 1e-12) / max(rest_below, 1e-12))
+        self.back.append(float(np.float32(max(left, 1e-12) / max(rest_below, 1e-12))))
 
     def freeze(self) -> FrozenTree:
         return FrozenTree(self)
@@ -246,17 +250,26 @@ class FrozenTree:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 8-byte values, each in byte planes."""
+    """Arrays of numbers, each in byte planes."""
     out = [np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()]
-    out += [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    out += [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays again, given the types that they had."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    sizes = raw[8 : 8 * len(kinds) + 8].view("<i8")
-    ends = 8 * (np.cumsum(sizes) + len(kinds) + 1)
-    return [np.ascontiguousarray(raw[e - 8 * n : e].reshape(8, -1).T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds, strict=True)]
+    out, at = [], 8 * len(kinds) + 8
+    for kind, n in zip(kinds, raw[8:at].view("<i8").tolist(), strict=True):
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, -1).T).reshape(-1).view(kind))
+        at += n * wide
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, whose high bytes are few."""
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -294,12 +307,16 @@ class _Block:
         counts = np.bincount(self.number[self.train], minlength=len(self.hashes))[self.order]
         hashes = self.hashes[self.order]
         for to, a, b in _targets(hashes, partitions):
-            yield to, _pack(hashes[a:b], counts[a:b])
+            yield to, _pack(_steps(hashes[a:b]), counts[a:b])
 
     def count(self, replies: list[bytes], end: int, total: int, distinct: int, few: float, cut: tuple[int, int] | None) -> None:
         """The root, from all words' counts."""
-        counts = np.full(len(self.hashes), end)
-        counts[self.order] = np.concatenate([_unpack(x, np.int64)[0] for x in replies]) if replies else []
+        counts, self.global_ = np.full(len(self.hashes), end), np.zeros(len(self.hashes), np.int64)
+        if replies:
+            got = [_unpack(x, *[np.int64] * 3) for x in replies]
+            counts[self.order] = np.concatenate([x for x, _, _ in got])
+            self.global_[self.order] = np.concatenate([rank * of[1] + of[0] + 1 for _, rank, of in got])
+        self.counts = counts
         self.known = (counts > 0)[self.number]
         self.root = (counts + 1) / (total + distinct + 1)
         self.p = self.root[self.number]
@@ -323,63 +340,91 @@ class _Block:
         self.pair_where = self.where[pairs]
         self.pairs, self.pair_of = np.unique(self.of[pairs] * len(self.hashes) + self.number[self.pair_where], return_inverse=True)
 
+    def _below(self) -> np.ndarray:
+        """Probabilities of the pairs' symbols in the suffixes of their contexts."""
+        below = np.empty(len(self.pairs), np.float32)
+        below[self.pair_of] = self.p[self.pair_where]
+        return below
+
     def messages(self, partitions: int) -> Iterator[tuple[int, bytes]]:
         """For each of the tree's partitions: contexts, their training tokens and numbers of pairs; the distinct next
-        symbols; the pairs' symbols as numbers into these, counts, and probabilities in the context's suffix, which
-        at the first level are the root's of the distinct symbols."""
+        symbols; the pairs' symbols as places among these, counts, and probabilities in the context's suffix; at the
+        first level, where the suffix is the root, counts of the distinct symbols instead."""
         n = len(self.contexts)
         totals = np.bincount(self.of[self.train[self.where]], minlength=n)
         counts = np.bincount(self.pair_of[self.train[self.pair_where]], minlength=len(self.pairs))
-        below = np.empty(len(self.pairs))
-        below[self.pair_of] = self.p[self.pair_where]
+        below = self._below()
         context, symbol = self.pairs // len(self.hashes), self.pairs % len(self.hashes)
         each = np.bincount(context, minlength=n)
         firsts = np.concatenate(([0], np.cumsum(each)))
         for to, a, b in _targets(self.contexts, partitions):
             x, y = firsts[a], firsts[b]
-            listed, of = np.unique(symbol[x:y], return_inverse=True)
-            yield to, _pack(self.contexts[a:b], totals[a:b], each[a:b], self.hashes[listed], of, counts[x:y], self.root[listed] if self.level == 1 else below[x:y])
+            listed, of = np.unique(self.global_[symbol[x:y]], return_inverse=True)
+            known = np.empty(0, np.int64)
+            if self.level == 1:
+                known = np.empty(len(listed), np.int64)
+                known[of] = self.counts[symbol[x:y]]
+            yield to, _pack(_steps(self.contexts[a:b]), totals[a:b], each[a:b], _steps(listed), of, counts[x:y], known, below[x:y] if self.level > 1 else below[:0])
 
     def hear(self, replies: list[bytes]) -> None:
         """Replies in the order of the partitions."""
         self.often = np.zeros(len(self.number), bool)
         if not replies:
             return
-        got = [_unpack(x, np.float64, np.int64, np.float64) for x in replies]
-        back, marks, listed = (np.concatenate(x) for x in zip(*got, strict=True))
-        self.p[self.where] *= back[self.of]
+        got = [_unpack(x, *_REPLY) for x in replies]
+        state, back, total, marks, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        below = self._below()
+        of_context, totals = np.ones(len(self.contexts)), np.zeros(len(self.contexts), np.int64)
+        of_context[state], totals[state] = back, total
+        own = marks & 2 > 0
         p = np.zeros(len(marks))
-        p[marks & 2 > 0] = listed
-        mark = marks[self.pair_of]
-        self.often[self.pair_where] = mark & 1 > 0
-        own = mark & 2 > 0
+        p[own] = _smoothed(count, below[own], totals[self.pairs[own] // len(self.hashes)])
+        self.p[self.where] *= of_context[self.of]
+        self.often[self.pair_where] = (marks & 1 > 0)[self.pair_of]
+        own = own[self.pair_of]
         self.p[self.pair_where[own]] = p[self.pair_of[own]]
 
 
-def _count(sent: pa.Table) -> pa.Table:
-    """One partition of the words: every block's message to a reply; the first has the number of distinct words."""
-    got = [_unpack(x.as_py(), U64, np.int64) for x in sent.column("data")]
-    words, counts = (np.concatenate(x) for x in zip(*got, strict=True))
-    distinct, of = np.unique(words, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, of, counts)
-    cuts = np.cumsum([len(x) for x, _ in got])[:-1]
-    fresh = [int((total > 0).sum()), *[0] * (len(got) - 1)]
-    return _replies(0, sent, [_pack(x) for x in np.split(total[of], cuts)], fresh)
+def _count(partitions: int):
+    """One partition of the words: every block's message to a reply of counts and numbers, small ones for frequent
+    words; the first reply has how many distinct words are in training texts."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        got = [_unpack(x.as_py(), U64, np.int64) for x in sent.column("data")]
+        words, counts = (np.concatenate(x) for x in zip(*[(np.cumsum(x), n) for x, n in got], strict=True))
+        distinct, of = np.unique(words, return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, of, counts)
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
+        place = np.array([sent.column("target")[0].as_py(), partitions])  # a word's number is rank * partitions + target + 1
+        cuts = np.cumsum([len(x) for x, _ in got])[:-1]
+        fresh = [int((total > 0).sum()), *[0] * (len(got) - 1)]
+        data = [_pack(total[x], rank[x], place) for x in np.split(of, cuts)]
+        return _replies(0, sent, data, fresh)
+
+    return run
 
 
 def _replies(level: int, sent: pa.Table, data: list[bytes], fresh: list[int]) -> pa.Table:
     return pa.table({"round": pa.array([level] * len(data), pa.int32()), "block": sent.column("block"), "target": sent.column("target"), "data": pa.array(data, pa.binary()), "fresh": pa.array(fresh, pa.int64())})
 
 
-def _grow(level: int, least: float, few: float):
+def _smoothed(count: np.ndarray, below: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Probabilities of a state's listed symbols."""
+    return (count + PRIOR * below.astype(np.float64)) / (total + PRIOR)
+
+
+def _grow(level: int, least: float, few: float, tokens: int):
     """One partition of the tree's contexts of a level: every block's message to a reply."""
 
     def run(sent: pa.Table) -> pa.Table:
         got = []
         for x in sent.column("data"):
-            context, total, each, listed, at, count, below = _unpack(x.as_py(), U64, np.int64, np.int64, U64, np.int64, np.int64, np.float64)
-            got.append((context, total, each, listed[at], count, below[at] if level == 1 else below))
+            context, total, each, listed, at, count, known, below = _unpack(x.as_py(), U64, *[np.int64] * 6, np.float32)
+            if level == 1:
+                below = ((known + 1) / tokens).astype(np.float32)[at]
+            got.append((np.cumsum(context), total, each, np.cumsum(listed)[at], count, below))
         context, total, each, symbol, count, below = (np.concatenate(x) for x in zip(*got, strict=True))
         contexts, of = np.unique(context, return_inverse=True)
         n = len(contexts)
@@ -392,7 +437,7 @@ def _grow(level: int, least: float, few: float):
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         first = order[new]
-        g, q = owner[first], below[first]
+        g, q = owner[first], below[first].astype(np.float64)
         c = np.zeros(len(first), np.int64)
         np.add.at(c, pair, count)
         often = c >= few
@@ -404,14 +449,15 @@ def _grow(level: int, least: float, few: float):
         both = (rest > 0) & (rest_below > 0)
         gain[both] += rest[both] * np.log(rest[both] / t[both] / rest_below[both])
         state = (kept > 0) & (gain >= 0.5 * (kept + 1) * np.log(t + 1)) & (rest_below > 0)
-        listed = (c + PRIOR * q) / (t[g] + PRIOR)
-        back = np.where(state, np.maximum(1 - add(listed), 1e-12) / np.maximum(rest_below, 1e-12), 1.0)
+        listed = _smoothed(c, q, t[g])
+        back = (np.maximum(1 - add(listed), 1e-12) / np.maximum(rest_below, 1e-12)).astype(np.float32)
         own = keep & state[g]
-        marks = often + 2 * own
+        marks = often + 2 * own.astype(np.uint8)
         replies, i, j = [], 0, 0
         for x in got:
             a, b = of[i : i + len(x[0])], pair[j : j + len(x[3])]
-            replies.append(_pack(back[a], marks[b], listed[b[own[b]]]))
+            states = a[state[a]]
+            replies.append(_pack(state[a], back[states], t[states], marks[b], c[b[own[b]]]))
             i, j = i + len(a), j + len(b)
         return _replies(level, sent, replies, [0] * len(replies))
 
@@ -432,8 +478,27 @@ def _ask(partitions: int):
     return run
 
 
+def _keep(path: str, heard: list[bytes]) -> None:
+    """Write what a block heard in a round; a task that runs again writes the same."""
+    out = AtomicOutput(path)
+    try:
+        out.write(np.array([len(heard), *map(len, heard)], "<i8").tobytes() + b"".join(heard))
+    except BaseException:
+        out.abandon()
+        raise
+    out.commit()
+
+
+def _recall(path: str) -> list[bytes]:
+    with open_input(path) as stream:
+        data = stream.read()
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * n + 8 + np.concatenate(([0], np.cumsum(np.frombuffer(data, "<i8", n, 8))))
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _send(load, partitions: int):
-    """Cogrouped by block: its path, and the replies of earlier rounds."""
+    """Cogrouped by block: its path, and the replies of the last round."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = load(left, right)
@@ -444,7 +509,7 @@ def _send(load, partitions: int):
 
 
 def _scores(load, total: int):
-    """Cogrouped by block: its path, and all replies."""
+    """Cogrouped by block: its path, and the replies of the last round."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = load(left, right)
@@ -477,8 +542,8 @@ def _cut(blocks: DataFrame, alphabet: int) -> tuple[int, int]:
         for batch in batches:
             for row in batch.to_pylist():
                 for _, data in _Block(row["path"]).words(1):
-                    hashes, counts = _unpack(data, U64, np.int64)
-                    yield pa.RecordBatch.from_pydict({"word": hashes.view(np.int64), "count": counts})
+                    steps, counts = _unpack(data, U64, np.int64)
+                    yield pa.RecordBatch.from_pydict({"word": np.cumsum(steps).view(np.int64), "count": counts})
 
     top = blocks.mapInArrow(words, "word long, count long").filter("count > 0").groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(alphabet)
     last = top.orderBy("count", F.desc("word")).first()
@@ -499,7 +564,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("texts", "tokens")]).first()
     end, total = own["texts"], own["tokens"]
     partitions = total // PART_TOKENS + 1
-    counts = blocks.mapInArrow(_ask(partitions), _SENT_KIND).groupBy("target").applyInArrow(_count, _REPLY_KIND)
+    counts = blocks.mapInArrow(_ask(partitions), _SENT_KIND).groupBy("target").applyInArrow(_count(partitions), _REPLY_KIND)
     replies = scratch.save(counts, "counts")
     distinct = replies.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("n")).first()["n"]
     cut = None
@@ -510,21 +575,30 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few, least = max(2, share / 10), max(2, share, least)
 
     def load(left: pa.Table, right: pa.Table) -> _Block:
-        block = _Block(left.column("path")[0].as_py())
-        heard: dict[int, list] = {}
-        for row in sorted(zip(*(right.column(x).to_pylist() for x in ("round", "target", "data")), strict=True)) if right.num_rows else ():
-            heard.setdefault(row[0], []).append(row[2])
-        block.count(heard.get(0, []), end, total, distinct, few, cut)
-        for level in range(1, max(heard, default=0) + 1):
-            block.deeper()
-            block.hear(heard.get(level, []))
+        """A block, with the replies of the last round from `right` and those before from its files."""
+        path = left.column("path")[0].as_py()
+        block, last = _Block(path), left.column("rounds")[0].as_py()
+        for level in range(last + 1):
+            if level < last:
+                heard = _recall(f"{path}.{level}")
+            else:
+                heard = [x for _, x in sorted(zip(*(right.column(x).to_pylist() for x in ("target", "data")), strict=True))] if right.num_rows else []
+                _keep(f"{path}.{level}", heard)
+            if level:
+                block.deeper()
+                block.hear(heard)
+            else:
+                block.count(heard, end, total, distinct, few, cut)
         return block
 
-    def over(replies: DataFrame, run, kind: str) -> DataFrame:
-        return blocks.select("block", "path").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, kind)
+    def over(replies: DataFrame, level: int, run, kind: str) -> DataFrame:
+        """All blocks with the replies of a round."""
+        return blocks.select("block", "path", F.lit(level).alias("rounds")).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, kind)
 
+    level = 0
     for level in range(1, depth + 1) if total else ():
-        got = over(replies, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, least, few), _REPLY_KIND)
-        replies = replies.unionByName(scratch.save(got, f"level{level}"))
-    out = over(replies, _scores(load, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        got = over(replies, level - 1, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, least, few, total + distinct + 1), _REPLY_KIND)
+        before, replies = replies, scratch.save(got, f"level{level}")
+        scratch.drop(before)
+    out = over(replies, level, _scores(load, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
