@@ -80,7 +80,7 @@ def test_writes_and_time_travel(engine):
     engine.sql("INSERT INTO ads (Key, JobStatus, Req) VALUES ('k', 1, Memory > 1024)")
     now[0] = 2000.0
     assert engine.sql("UPDATE ads SET JobStatus = JobStatus + 1 WHERE Key = 'k'").first()[0] == 1
-    assert [tuple(r) for r in engine.sql("SELECT JobStatus, Req FROM ads").collect()] == [(2, "Memory > 1024")]
+    assert [tuple(r) for r in engine.sql("SELECT JobStatus, Req FROM ads").collect()] == [(2, None)]  # no Memory
     at = datetime.datetime.fromtimestamp(1500).isoformat()
     assert engine.sql(f"SELECT JobStatus FROM ads AS OF '{at}'").first()[0] == 1
     assert engine.sql("SELECT COUNT(*) AS n FROM ads AS OF '-1500s'").first()[0] == 0
@@ -217,3 +217,111 @@ def test_match_greedy_all_parts(spark, tmp_path):
         taken.add(want[key])
     got = {r["request"]: r["resource"] for r in QUERIES["match_greedy"](spark, str(tmp_path)).collect()}
     assert got == want and len(taken) > 41
+
+
+def test_wide_rows_survive(engine, spark):
+    """Each write keeps every row, also when adaptive execution merges shuffle partitions."""
+    wide = spark.range(40_000).select(F.col("id").cast("string").alias("Key"), F.col("id").alias("n"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 16).alias("pad"))
+    assert engine.write_rows("wide", wide)[0] == 40_000
+    assert engine.sql("SELECT COUNT(*) AS n FROM wide").first()[0] == 40_000
+    assert engine.sql("UPDATE wide SET n = n + 1 WHERE n < 30000").first()[0] == 30_000
+    assert tuple(engine.table("wide").agg(F.count("*"), F.sum("n")).first()) == (40_000, sum(range(40_000)) + 30_000)
+    assert engine.sql("DELETE FROM wide WHERE n > 35000").first()[0] == 4_999
+    assert engine.sql("SELECT COUNT(*) AS n FROM wide").first()[0] == 35_001
+    events = engine.log("wide").events()
+    assert events.count() == events.select("_seq").distinct().count() == 74_999
+
+
+def test_restart(engine, spark):
+    from tidemark.engine import Engine
+
+    engine.sql("CREATE TABLE t")
+    engine.sql("INSERT INTO t (a) VALUES (1)")
+    engine.sql("CREATE INDEX ON t (a)")
+    engine.sql("CREATE MATERIALIZED VIEW v AS SELECT a, COUNT(*) AS n FROM t GROUP BY a")
+    engine.archive("old", "at").append(spark.createDataFrame([(1, 5)], "x long, at long"))
+    engine.sql("CREATE TABLE m MEMORY")
+    engine.sql("INSERT INTO m (Key, a) VALUES ('x', 1)")
+    engine.sql("UPDATE m SET a = 2")
+    assert [tuple(r) for r in engine.sql("SELECT * FROM m").collect()] == [("x", 2)]
+    again = Engine(spark, engine.root)
+    again.sql("INSERT INTO t (a) VALUES (2)")
+    assert sorted(tuple(r) for r in again.sql("SELECT * FROM t").collect()) == [("row-1", 1), ("row-2", 2)]
+    assert again.tables() == ["old", "t", "v"] and again.indexes == {("t", "a"): "VALUE"}
+    assert sorted(tuple(r) for r in again.sql("SELECT * FROM v").collect()) == [(1, 1), (2, 1)]
+    assert again.sql("SELECT x FROM old").first()[0] == 1
+
+
+def test_second_writer(engine, spark, monkeypatch):
+    """One of two writers that saw the same state is refused; what it wrote is never read."""
+    engine.sql("CREATE TABLE t")
+    one, two = engine.log("t"), engine.log("t")
+    seen = two._state()
+    event = spark.createDataFrame([("upsert", "x", "x", 1)], "_op string, _key string, Key string, a long")
+    one.append(event)
+    monkeypatch.setattr(two, "_state", lambda: seen)
+    with pytest.raises(QueryError):
+        two.append(event)
+    assert one.events().count() == 1
+    staged = one.commits()  # a writer that breaks off between its record and the move
+    fs, data = one._fs(f"{one.root}/{staged[0]}")
+    fs.rename(data, one._fs(f"{one.root}/{staged[0].replace('data/', '_staging/')}")[1])
+    assert one.events().count() == 1
+    one.append(spark.createDataFrame([("upsert", "y", "y", 2)], "_op string, _key string, Key string, a long"))
+    assert one.events().count() == 2 and not one._staged() - {c for c in one._staged() if "commit-000000000002" in c}
+
+
+def test_columns_of_several_types(engine):
+    for k, v in enumerate(("42", "'text'", "true", "UNDEFINED", "2.5", "'42'")):
+        engine.sql(f"INSERT INTO h (Key, V, W) VALUES ('{k}', {v}, {k if k % 2 else k + 0.5})")
+    got = {r["Key"]: r["V"].toPython() if r["V"] is not None else None for r in engine.sql("SELECT Key, V FROM h").collect()}
+    assert got == {"0": 42, "1": "text", "2": True, "3": None, "4": 2.5, "5": "42"}
+    assert [r[0] for r in engine.sql("SELECT Key FROM h WHERE V > 2 ORDER BY Key").collect()] == ["0", "4"]
+    assert [r[0] for r in engine.sql("SELECT Key FROM h WHERE V = 'text'").collect()] == ["1"]
+    assert [r[0] for r in engine.sql("SELECT Key FROM h WHERE V IS NULL").collect()] == ["3"]
+    assert engine.sql("SELECT SUM(V) AS s, COUNT(DISTINCT V) AS n, SUM(W) AS w FROM h").first() == (44.5, 4, 16.5)
+    assert {r["V"]: r["n"] for r in engine.sql("SELECT V, COUNT(*) AS n FROM h GROUP BY V").collect()} == {"42": 2, "text": 1, "true": 1, None: 1, "2.5": 1}
+    engine.log("h").compact()
+    assert engine.sql("SELECT COUNT(V) AS n FROM h WHERE V =?= '42'").first()[0] == 1
+
+
+def test_attributes_with_expressions(engine):
+    engine.sql("INSERT INTO ads (Key, Memory, Big, Bad, Own, A, B) VALUES ('x', 2048, Memory > 1024, Memory / 0, Own + 1, B + 1, A + 1)")
+    engine.sql("INSERT INTO ads (Key, Memory, Big, Twice, Four) VALUES ('y', 512, 'no', Memory * 2, Twice * 2)")
+    assert engine.sql("SELECT Big, Bad, Own, A, B FROM ads WHERE Key = 'x'").first()[1:] == (None, None, None, None)
+    assert {r["Key"]: r["Big"].toPython() for r in engine.sql("SELECT Key, Big FROM ads").collect()} == {"x": True, "y": "no"}
+    assert engine.sql("SELECT Key, Four FROM ads WHERE Twice = 1024").collect() == [("y", 2048)]
+    assert engine.sql("UPDATE ads SET Memory = 4096 WHERE Four = 2048").first()[0] == 1
+    assert engine.sql("SELECT Four, Twice FROM ads WHERE Key = 'y'").first() == (16384, 8192)
+    engine.sql("UPDATE ads SET Twice = 1 WHERE Key = 'y'")
+    assert engine.sql("SELECT Four FROM ads WHERE Key = 'y'").first()[0] == 2
+    assert sorted(engine.sql("SELECT * FROM ads").columns) == sorted(["Key", "Memory", "Big", "Bad", "Own", "A", "B", "Twice", "Four"])
+    engine.sql("INSERT INTO slots (Key, Cpus, Requirements) VALUES ('s', 8, TARGET.Cpus <= Cpus)")
+    engine.sql("INSERT INTO jobs (Key, Cpus, Rank) VALUES ('j', 4, TARGET.Cpus)")
+    engine.sql("INSERT INTO jobs (Key, Cpus) VALUES ('k', 40)")
+    assert [tuple(r) for r in engine.sql("MATCH jobs TO slots LIMIT 2").collect()] == [("j", "s", 8.0), ("k", None, None)]
+
+
+def test_continuous_view(engine):
+    """Buckets are sealed once; rows for a sealed bucket are late; old buckets go."""
+    def put(key, at, owner="alice"):
+        engine.sql(f"INSERT INTO jobs (Key, QDate, Owner) VALUES ('{key}', {at}, '{owner}')")
+
+    for k, (at, owner) in enumerate([(3600, "alice"), (3700, "alice"), (3800, "bob"), (7200, "alice")]):
+        put(k, at, owner)
+    engine.sql("CREATE MATERIALIZED VIEW hourly AS SELECT time_bucket(QDate, '1h') AS b, Owner, COUNT(*) AS n FROM jobs GROUP BY b, Owner WITH (grace = '10m', retention = '3h')")
+    read = lambda: sorted(tuple(r) for r in engine.sql("SELECT b, Owner, n FROM hourly").collect())
+    assert read() == [(3600, "alice", 2), (3600, "bob", 1), (7200, "alice", 1)]
+    put("in time", 3900)
+    assert read()[0] == (3600, "alice", 3)
+    put("seals", 7900)
+    assert read() == [(3600, "alice", 3), (3600, "bob", 1), (7200, "alice", 2)] and engine.seal("hourly")["sealed"] == 7200
+    put("late", 3950)
+    put("x", 7300)
+    assert read() == [(3600, "alice", 3), (3600, "bob", 1), (7200, "alice", 3)]
+    assert engine.seal("hourly")["late"] == 1
+    put("far", 36000)
+    assert read() == [(36000, "alice", 1)]
+    assert engine.seal("hourly", 50_000)["sealed"] == 46_800 and read() == [(36000, "alice", 1)]
+    engine.sql("DROP MATERIALIZED VIEW hourly")
+    assert engine.tables() == ["jobs"]

@@ -9,15 +9,18 @@ import time
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.attributes import TEXT, evaluated, evaluating
 from .functions.expressions import Compiler, resolver
 from .operators.match import run_match
-from .operators.select import run_select
+from .operators.select import names, run_select
 from .operators.timeline import latest
 from .plans import nodes as N
+from .plans.checks import grouping
 from .plans.lexer import QueryError
 from .plans.parser import parse
 from .sources.archive import Archive
-from .sources.changelog import META, ChangeLog
+from .sources.catalog import Catalog
+from .sources.changelog import META, ChangeLog, MemoryLog, union
 
 KEY = "Key"
 
@@ -77,21 +80,26 @@ def point_in_time(text: str, now: float | None = None) -> float:
 
 
 class Engine:
-    """Tables are change logs below `root`, or frames registered as views.
+    """Tables are change logs below `root`, in memory, or frames registered as views.
 
     Writes go through a change log; outside a transaction each statement is one commit.  A transaction binds to the
-    first table that it writes, and reads of that table see its writes.
+    first table that it writes, reads of that table see its writes, and its net change of each key is one commit.
+    Tables, views, archives and indexes last; tables in memory and registered frames go with the engine.
+
+    An attribute may hold an expression over others.  It is stored as text beside the values and evaluated when a
+    row is read; one that refers to itself, over others or not, is undefined.
     """
 
     def __init__(self, spark: SparkSession, root: str, clock=time.time):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+        self.catalog = Catalog(spark, f"{self.root}/catalog")
         self.frames: dict[str, DataFrame] = {}
-        self.views: dict[str, N.Create] = {}
-        self.archives: dict[str, Archive] = {}
-        self.indexes: dict[tuple[str, str], str] = {}
-        self.pending: list[DataFrame] | None = None
+        self.memory: dict[str, MemoryLog] = {}
+        self.views: dict[str, N.Create] = {n: parse(text) for n, text in self.catalog.all("views").items()}
+        self.archives: dict[str, Archive] = {n: Archive(spark, f"{self.root}/archives", n, at) for n, at in self.catalog.all("archives").items()}
+        self.indexes: dict[tuple[str, str], str] = {tuple(n.split("/", 1)): kind for n, kind in self.catalog.all("indexes").items()}
+        self.pending: list[tuple[DataFrame, dict[str, list[str]], int]] | None = None  # events, expressions, keys made
         self.bound: str | None = None
-        self._auto = 0
 
     # tables
 
@@ -101,44 +109,58 @@ class Engine:
 
     def archive(self, name: str, time: str) -> Archive:
         """An archive table; a name of its own, apart from the other tables."""
-        return self.archives.setdefault(name.lower(), Archive(self.spark, f"{self.root}/archives", name.lower(), time))
+        low = name.lower()
+        if low not in self.archives:
+            self.catalog.put("archives", low, time)
+            self.archives[low] = Archive(self.spark, f"{self.root}/archives", low, time)
+        return self.archives[low]
 
-    def log(self, name: str) -> ChangeLog:
-        return ChangeLog(self.spark, f"{self.root}/tables", name.lower())
+    def log(self, name: str) -> ChangeLog | MemoryLog:
+        return self.memory.get(name.lower()) or ChangeLog(self.spark, f"{self.root}/tables", name.lower())
 
     def tables(self) -> list[str]:
         fs, path = self.log("x")._fs(f"{self.root}/tables")
         stored = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted({*self.frames, *self.views, *self.archives, *stored})
+        return sorted({*self.frames, *self.memory, *self.views, *self.archives, *stored})
 
     def table(self, name: str, as_of: str | None = None) -> DataFrame:
+        """Rows to read, with expressions evaluated."""
         low = name.lower()
         if low in self.views:
             return self.refresh(low)
         if low in self.frames:
             if as_of is not None:
-                raise QueryError(f"AS OF is not supported on {name}: it has no history")
+                raise QueryError(f"{name} keeps no history, so AS OF has nothing to read")
             return self.frames[low]
         if low in self.archives:
             if as_of is not None:
-                raise QueryError(f"AS OF is not supported on the archive {name}")
+                raise QueryError(f"{name} is an archive, which AS OF doesn't read")
             return self.archives[low].rows()
+        rows, texts = self._stored(low, as_of)
+        return evaluated(rows, texts)
+
+    def _stored(self, low: str, as_of: str | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+        """A log's rows as stored, and the expressions among them."""
         log = self.log(low)
-        if not log.exists():
-            raise QueryError(f"no such table {name!r}")
+        if not log.exists() and not (self.bound == low and self.pending):
+            raise QueryError(f"no such table {low!r}")
         if as_of is not None:
-            return log.rows(point_in_time(as_of, self.clock()))
-        rows = log.rows()
+            return log.rows(point_in_time(as_of, self.clock())), log.texts()
+        rows, texts = log.rows(), log.texts()
         if self.bound == low and self.pending:
-            return self._overlay(rows)
-        return rows
-
-    def _overlay(self, rows: DataFrame) -> DataFrame:
-        """A snapshot with the transaction's own writes on top."""
-        events = rows.withColumn("_n", F.lit(-1).cast("long")).withColumn("_batch", F.lit(-1))
-        for k, batch in enumerate(self.pending):
-            events = events.unionByName(batch.withColumn("_batch", F.lit(k)), allowMissingColumns=True)
-        return latest(events, "_key", ["_batch", "_n"], op="_op").drop("_n", "_batch")
+            for _, new, _ in self.pending:
+                for c, found in new.items():
+                    texts[c] = [*texts.get(c, []), *found]
+            rows = self._net(rows).filter(F.col("_op") != "delete")
+        return rows, texts
+
+    def _net(self, rows: DataFrame | None = None) -> DataFrame:
+        """The transaction's last event of each key, over a snapshot's rows if given."""
+        events = None if rows is None else rows.withColumn("_batch", F.lit(-1))
+        for k, (batch, _, _) in enumerate(self.pending):
+            batch = batch.withColumn("_batch", F.lit(k))
+            events = batch if events is None else union(events, batch)
+        return latest(events, "_key", ["_batch"]).drop("_batch")
 
     # statements
 
@@ -151,7 +173,7 @@ class Engine:
             case N.Explain():
                 return self.explain(st)
             case N.Match():
-                return run_match(self.spark, st, self.table(st.requests), self.table(st.resources))
+                return run_match(self.spark, st, self._texts_in_place(st.requests), self._texts_in_place(st.resources))
             case N.Watch():
                 from .streaming.watch import replay
 
@@ -163,7 +185,7 @@ class Engine:
             case N.Delete():
                 return self._done(self.delete(st))
             case N.Create():
-                return self._done(self.create(st))
+                return self._done(self.create(st, bind(text, params)))
             case N.Drop():
                 return self._done(self.drop(st))
             case N.Transaction(action):
@@ -173,6 +195,17 @@ class Engine:
     def _done(self, n: int) -> DataFrame:
         return self.spark.createDataFrame([Row(rows=n)], "rows long")
 
+    def _texts_in_place(self, name: str) -> DataFrame:
+        """A table whose expressions are columns of text."""
+        low = name.lower()
+        if low in self.views or low in self.frames or low in self.archives:
+            return self.table(low)
+        rows, texts = self._stored(low)
+        for x in texts:
+            own = next((c for c in rows.columns if c.lower() == x[len(TEXT) :].lower()), x[len(TEXT) :])
+            rows = rows.withColumn(own, F.coalesce(F.col(f"`{x}`"), F.col(f"`{own}`").cast("string")) if own in rows.columns else F.col(f"`{x}`")).drop(x)
+        return rows
+
     def select(self, st: N.Select) -> DataFrame:
         return run_select(self.table(st.table, st.as_of), st)
 
@@ -190,66 +223,68 @@ class Engine:
 
     # writes
 
-    def _commit(self, table: str, events: DataFrame) -> int:
+    def _commit(self, table: str, events: DataFrame, texts: dict[str, list[str]] | None = None, made: int = 0) -> int:
+        """Events of distinct keys."""
         low = table.lower()
         if low in self.frames or low in self.views or low in self.archives:
-            raise QueryError(f"{table} is read-only")
+            raise QueryError(f"{table} cannot be written")
         if self.pending is not None:
             if self.bound not in (None, low):
-                raise QueryError(f"the transaction writes {self.bound}; it cannot write {table}")
+                raise QueryError(f"this transaction is on {self.bound}, so it cannot write {table}")
             self.bound = low
-            self.pending.append(events)
+            self.pending.append((events, texts or {}, made))
             return events.count()
         log = self.log(low)
         log.create()
-        before = log.head()
-        return log.append(events, self.clock()) - before
+        return log.append(events, self.clock(), texts, made=made)
 
     def insert(self, st: N.Insert) -> int:
-        values = {}
+        values, texts = {}, {}
         for column, node in st.values.items():
-            constant = not any(isinstance(x, N.Ref) for x in N.walk(node))
-            # an expression over other attributes is kept as text
-            values[column] = Compiler(lambda r: None).column(node) if constant else F.lit(st.texts[column])
+            if any(isinstance(x, N.Ref) for x in N.walk(node)):
+                values[TEXT + column], texts[TEXT + column] = F.lit(st.texts[column]), [st.texts[column]]
+            else:
+                values[column] = Compiler(lambda r: None).column(node)
         name = next((c for c in values if c.lower() == KEY.lower()), None)
         if name is None:
-            self._auto += 1
-            values[KEY] = F.lit(f"row-{self._auto}")
-            name = KEY
-        key = values.pop(name).cast("string")
-        one = self.spark.range(1).select(F.lit("upsert").alias("_op"), key.alias("_key"), F.lit(0).cast("long").alias("_n"), key.alias(KEY), *[c.alias(n) for n, c in values.items()])
-        return self._commit(st.table, one)
+            made = self.log(st.table).made() + sum(m for _, _, m in self.pending or [])
+            values[KEY] = F.lit(f"row-{made + 1}")
+        key = values.pop(name or KEY).cast("string")
+        one = self.spark.range(0, 1, 1, 1).select(F.lit("upsert").alias("_op"), key.alias("_key"), key.alias(KEY), *[c.alias(n) for n, c in values.items()])
+        return self._commit(st.table, one, texts, int(name is None))
 
     def _matching(self, table: str, where: N.Node | None) -> DataFrame:
-        rows = self.table(table)
-        return rows if where is None else rows.filter(Compiler(resolver(rows)).condition(where))
-
-    def _numbered(self, rows: DataFrame, op: str) -> DataFrame:
-        return rows.drop("_seq", "_ts", "_op").withColumn("_op", F.lit(op)).withColumn("_n", F.monotonically_increasing_id())
+        """Stored rows for which a condition on the evaluated ones holds."""
+        low = table.lower()
+        if low in self.frames or low in self.views or low in self.archives:
+            raise QueryError(f"{table} cannot be written")
+        rows, texts = self._stored(low)
+        if where is None:
+            return rows
+        look = evaluating(rows, texts)
+        return rows.filter(Compiler(look).condition(where))
 
     def update(self, st: N.Update) -> int:
+        """Stores values: an expression is evaluated now, on each row."""
         if any(c.lower() == KEY.lower() for c in st.values):
-            raise QueryError("the key attribute cannot be updated")
+            raise QueryError("UPDATE cannot set the key")
         rows = self._matching(st.table, st.where)
-        compiler = Compiler(resolver(rows))
+        texts = self.log(st.table).texts()
+        compiler = Compiler(evaluating(rows, texts))
         changed = rows.select("*", *[compiler.column(n).alias(f"_new{k}") for k, n in enumerate(st.values.values())])
         for k, c in enumerate(st.values):
             own = next((x for x in rows.columns if x.lower() == c.lower()), c)
-            changed = changed.withColumn(own, F.col(f"_new{k}")).drop(f"_new{k}")
+            changed = changed.withColumn(own, F.col(f"_new{k}")).drop(f"_new{k}", *[x for x in rows.columns if x.lower() == (TEXT + c).lower()])
         return self._commit_rows(st.table, changed, "upsert")
 
     def delete(self, st: N.Delete) -> int:
         return self._commit_rows(st.table, self._matching(st.table, st.where), "delete")
 
+    def truncate(self, table: str) -> int:
+        return self._commit_rows(table, self._matching(table, None), "delete")
+
     def _commit_rows(self, table: str, rows: DataFrame, op: str) -> int:
-        events = self._numbered(rows, op)
-        # numbers without gaps: ranks inside partitions after those of the partitions before
-        part = F.spark_partition_id()
-        events = events.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_n")))
-        sizes = events.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-        starts = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-        events = events.join(starts, "_p").withColumn("_n", F.col("_s") + F.col("_r") - 1).drop("_p", "_r", "_s")
-        return self._commit(table, events)
+        return self._commit(table, rows.drop("_seq", "_ts", "_op").withColumn("_op", F.lit(op)))
 
     def write_rows(self, table: str, rows: DataFrame, key: str = KEY) -> tuple[int, DataFrame]:
         """Replace whole rows; returns how many, and the rows refused (no key, or a key that comes twice)."""
@@ -261,66 +296,128 @@ class Engine:
 
     # definitions
 
-    def create(self, st: N.Create) -> int:
+    def create(self, st: N.Create, text: str) -> int:
         if st.kind == "TABLE":
             if st.memory:
-                self.register(st.name, self.spark.createDataFrame([], "Key string").cache())
+                self.memory.setdefault(st.name.lower(), MemoryLog(self.spark, st.name.lower()))
             else:
                 self.log(st.name).create()
         elif st.kind == "INDEX":
-            self.indexes |= {(st.name.lower(), c): st.index for c in st.columns}
+            for c in st.columns:
+                self.index(st.name, c, st.index)
         else:
+            self.catalog.put("views", st.name.lower(), text)
             self.views[st.name.lower()] = st
         return 0
 
+    def index(self, table: str, column: str, kind: str | None = "VALUE") -> bool:
+        """Note an index, or drop it (kind None); indexes advise how files are sorted."""
+        at = (table.lower(), column)
+        if kind is None:
+            self.catalog.remove("indexes", "/".join(at))
+            return self.indexes.pop(at, None) is not None
+        self.catalog.put("indexes", "/".join(at), kind)
+        self.indexes[at] = kind
+        return True
+
     def drop(self, st: N.Drop) -> int:
+        low = st.name.lower()
         if st.kind == "TABLE":
-            if self.frames.pop(st.name.lower(), None) is None:
-                self.log(st.name).drop()
+            if self.frames.pop(low, None) is None:
+                self.log(low).drop()
+                self.memory.pop(low, None)
         elif st.kind == "INDEX":
             for c in st.columns:
-                self.indexes.pop((st.name.lower(), c), None)
+                self.index(low, c, None)
         else:
-            self.views.pop(st.name.lower(), None)
+            self.catalog.remove("views", low)
+            self.views.pop(low, None)
+            self._sealed(low).drop()
         return 0
 
+    def _sealed(self, name: str) -> ChangeLog:
+        return ChangeLog(self.spark, f"{self.root}/views", name)
+
+    def seal(self, name: str, until: float | None = None) -> dict:
+        """Append a continuous aggregate's buckets that ended `grace` before its newest row, or before `until`, each
+        once.  Returns its note: sealed (the end of the last such bucket), cursor, late (rows that came too late)."""
+        view = self.views[name.lower()]
+        bucket_ = next(k for k in grouping(view.query) if isinstance(k, N.Bucket))
+        log, store = self.log(view.query.table), self._sealed(name.lower())
+        rows = self.table(view.query.table)
+        compiler = Compiler(resolver(rows))
+        at, slot = compiler.column(N.Ref(bucket_.column)), compiler.column(bucket_)
+        store.create()
+        note = {"sealed": None, "cursor": 0, "late": 0} | store.note()
+        sealed = note["sealed"]
+        late = (F.col("_seq") > note["cursor"]) & (slot < sealed) if sealed is not None else F.lit(False)
+        newest, came_late = rows.agg(F.max(at), F.count(F.when(late, 1))).first()
+        if newest is None:
+            return note
+        end = int(((newest if until is None else until) - view.grace) // bucket_.width * bucket_.width)
+        following = {"sealed": end if sealed is None else max(sealed, end), "cursor": log.head(), "late": note["late"] + came_late}
+        if following != note:
+            ripe = slot < following["sealed"] if sealed is None else (slot >= sealed) & (slot < following["sealed"])
+            out = run_select(rows.filter(ripe), view.query)
+            store.append(out.withColumn("_op", F.lit("upsert")).withColumn("_key", F.to_json(F.struct(*out.columns))), self.clock(), note=following)
+        return following
+
     def refresh(self, name: str) -> DataFrame:
-        """A view's rows; too many series are an error."""
+        """A view's rows; too many series are an error.
+
+        A continuous aggregate is sealed as far as its newest row says, and has its sealed buckets and the open ones.
+        Buckets that ended `retention` before the newest one's start are left out.
+        """
         view = self.views[name]
-        out = self.select(view.query)
+        keys = grouping(view.query)
+        slot = next((i for i in view.query.items if isinstance(i.node, N.Bucket) and i.node in keys), None)
+        if slot is not None and self.log(view.query.table).exists():
+            sealed = self.seal(name)["sealed"]
+            rows = self.table(view.query.table)
+            if sealed is not None:
+                rows = rows.filter(Compiler(resolver(rows)).column(slot.node) >= sealed)
+            out = run_select(rows, view.query)
+            store = self._sealed(name).rows()
+            if set(out.columns) <= set(store.columns):
+                out = union(store.select(*out.columns), out)
+        else:
+            out = self.select(view.query)
+        if view.retention:
+            at = names(view.query.items)[view.query.items.index(slot)]
+            newest = out.agg(F.max(f"`{at}`")).first()[0]
+            if newest is not None:
+                out = out.filter(F.col(f"`{at}`") + slot.node.width > newest - view.retention)
         if out.limit(view.max_series + 1).count() > view.max_series:
-            raise QueryError(f"materialized view {name} has more than {view.max_series} series")
+            raise QueryError(f"the view {name} has more than {view.max_series} series")
         return out
 
     # transactions
 
     def begin(self) -> int:
         if self.pending is not None:
-            raise QueryError("a transaction is open already")
+            raise QueryError("BEGIN inside a transaction; they do not nest")
         self.pending, self.bound = [], None
         return 0
 
     def commit(self) -> int:
+        """The net change of each key as one commit; returns how many keys changed."""
         if self.pending is None:
-            raise QueryError("no transaction is open")
-        batches, table = self.pending, self.bound
-        self.pending = self.bound = None
-        if not batches:
+            raise QueryError("there is no transaction to commit")
+        if not self.pending:
+            self.pending = self.bound = None
             return 0
-        at, events, offset = self.clock(), None, 0
-        for b in batches:
-            n = b.count()
-            b = b.withColumn("_n", F.col("_n") + offset)
-            events = b if events is None else events.unionByName(b, allowMissingColumns=True)
-            offset += n
-        log = self.log(table)
+        net, log, texts = self._net(), self.log(self.bound), {}
+        for _, new, _ in self.pending:
+            for c, found in new.items():
+                texts[c] = [*texts.get(c, []), *found]
         log.create()
-        before = log.head()
-        return log.append(events, at) - before
+        n = log.append(net, self.clock(), texts, made=sum(m for _, _, m in self.pending))
+        self.pending = self.bound = None  # kept if the commit fails
+        return n
 
     def rollback(self) -> int:
         if self.pending is None:
-            raise QueryError("no transaction is open")
+            raise QueryError("there is no transaction to roll back")
         self.pending = self.bound = None
         return 0
 

@@ -1,7 +1,8 @@
 """Compile expressions to columns.
 
-Every compiled value knows its kind (int, real, string, bool, list, null or any), which decides integer division and
-identity.  Undefined is NULL; an error, such as a division by zero, is NULL as well.  A name that no column has is
+Every compiled value knows its kind (int, real, string, bool, list, variant, null or any), which decides integer
+division and identity.  A variant holds values of several types: it is a number, a string or a condition where one is
+asked for and it holds that, else undefined.  A string compared with a number counts as the number that it spells.  Undefined is NULL; an error, such as a division by zero, is NULL as well.  A name that no column has is
 undefined.  Names are matched without regard to case.
 """
 
@@ -39,6 +40,8 @@ def kind_of(data_type: T.DataType) -> str:
             return "bool"
         case T.ArrayType():
             return "list"
+        case T.VariantType():
+            return "variant"
         case T.NullType():
             return UNDEFINED
     return "any"
@@ -74,7 +77,7 @@ def two_sided(mine: Resolver, target: Resolver) -> Resolver:
 
 
 def _strcat(args: list[Value]) -> Value:
-    return Value(F.concat(*[a.column.cast("string") for a in args]), "string")
+    return Value(F.concat(*[key_of(a).cast("string") for a in args]), "string")
 
 
 def _member(args: list[Value]) -> Value:
@@ -109,14 +112,31 @@ FUNCTIONS: dict[str, tuple[int, Callable[[list[Value]], Value]]] = {  # least nu
 
 
 def _choice(c: Value, a: Value, b: Value) -> Value:
-    return Value(F.when(c.column.isNull(), None).when(c.column, a.column).otherwise(b.column), _common(a, b))
+    return Value(F.when(c.column.isNull(), None).when(c.column, a.column).otherwise(b.column), common(a, b))
 
 
-def _common(*values: Value) -> str:
+def common(*values: Value) -> str:
+    """The kind that holds all of the values."""
     kinds = {v.kind for v in values} - {UNDEFINED}
     if kinds <= {"int", "real"} and len(kinds) == 2:
         return "real"
-    return kinds.pop() if len(kinds) == 1 else "any" if kinds else UNDEFINED
+    return kinds.pop() if len(kinds) == 1 else "variant" if kinds and "any" not in kinds else "any" if kinds else UNDEFINED
+
+
+def as_kind(v: Value, kind: str) -> Value:
+    """A variant's values of one kind, the others undefined; other values as they are."""
+    if v.kind != "variant" or kind in ("variant", "any", UNDEFINED, "list"):
+        return v
+    held = F.schema_of_variant(v.column)
+    number = ~held.isin("STRING", "BOOLEAN", "VOID") & ~held.startswith("ARRAY") & ~held.startswith("OBJECT")
+    fits = {"string": held == "STRING", "bool": held == "BOOLEAN"}.get(kind, number)
+    kind = "real" if kind == "int" else kind
+    return Value(F.when(fits, F.try_variant_get(v.column, "$", {"string": "string", "bool": "boolean"}.get(kind, "double"))), kind)
+
+
+def key_of(v: Value) -> Column:
+    """A column to group, sort or tell apart by: a variant's text, since its values have no order."""
+    return F.try_variant_get(v.column, "$", "string") if v.kind == "variant" else v.column
 
 
 class Compiler:
@@ -132,7 +152,7 @@ class Compiler:
         return self.value(node).column
 
     def condition(self, node: N.Node) -> Column:
-        v = self.value(node)
+        v = as_kind(self.value(node), "bool")
         if v.kind in ("int", "real"):
             return v.column != 0
         return v.column if v.kind == "bool" else v.column.try_cast("boolean")
@@ -168,7 +188,7 @@ class Compiler:
                 for (c, _), v in zip(arms[1:], values[1:], strict=True):
                     out = out.when(self.condition(c), v.column)
                 last = self.value(other)
-                return Value(out.otherwise(last.column), _common(*values, last))
+                return Value(out.otherwise(last.column), common(*values, last))
             case N.Call(name, args):
                 least, make = FUNCTIONS.get(name, (0, None))
                 if make is None:
@@ -186,9 +206,27 @@ class Compiler:
         a, b = self.value(node.left), self.value(node.right)
         x, y = a.column, b.column
         if op in ("=?=", "=!="):
+            if UNDEFINED in (a.kind, b.kind):
+                same = (y if a.kind == UNDEFINED else x).isNull()
+                return Value(same if op == "=?=" else ~same, "bool")
+            if "variant" in (a.kind, b.kind) and a.kind != b.kind:
+                a, b = as_kind(a, b.kind), as_kind(b, a.kind)
+            x, y = key_of(a), key_of(b)
             apart = {a.kind, b.kind} - {UNDEFINED, "any"}
-            same = F.lit(False) if len(apart) == 2 and UNDEFINED not in (a.kind, b.kind) else x.eqNullSafe(y)
+            same = F.lit(False) if len(apart) == 2 and apart != {"int", "real"} else x.eqNullSafe(y)
             return Value(same if op == "=?=" else ~same, "bool")
+        if "variant" in (a.kind, b.kind):
+            other = b.kind if a.kind == "variant" else a.kind
+            kind = "real" if op in "+-*/%&|^" else "string" if op in ("=~", "!~") or other == "variant" else other
+            if other == "variant" and kind == "string":
+                a, b = Value(key_of(a), "string"), Value(key_of(b), "string")
+            else:
+                a, b = as_kind(a, kind), as_kind(b, kind)
+            x, y = a.column, b.column
+        numbers = ("int", "real")
+        if {a.kind, b.kind} & set(numbers) and "string" in (a.kind, b.kind) and op not in ("=~", "!~"):
+            a, b = (Value(v.column.try_cast("double"), "real") if v.kind == "string" else v for v in (a, b))
+            x, y = a.column, b.column
         if op in ("=~", "!~"):
             found = F.regexp_like(x, y)
             return Value(found if op == "=~" else ~found, "bool")
@@ -197,7 +235,7 @@ class Compiler:
                 x, y = F.lower(x), F.lower(y)
             compare = {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}
             return Value(compare[op], "bool")
-        kind = _common(a, b)
+        kind = common(a, b)
         if op == "/":
             if kind == "int":  # truncates, and x / 0 is undefined
                 return Value(_int_div(x, y), "int")
@@ -205,7 +243,7 @@ class Compiler:
         if op == "%":
             return Value(F.try_mod(x, y), kind)
         if op in "+-*":
-            return Value({"+": x + y, "-": x - y, "*": x * y}[op], kind)
+            return Value({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y), kind)
         return Value({"&": x.bitwiseAND(y), "|": x.bitwiseOR(y), "^": x.bitwiseXOR(y)}[op], "int")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Compiler, Value, kind_of, resolver
+from ..functions.expressions import Compiler, Value, as_kind, key_of, kind_of, resolver
 from ..plans import nodes as N
 from ..plans.checks import group_level, grouping
 from ..plans.lexer import QueryError
@@ -43,7 +43,8 @@ def aggregate_column(node: N.Aggregate, df: DataFrame, fold_case: bool = False)
         return Value(F.count(kept(F.lit(1))), "int")
     v = compiler.value(N.Ref(node.column))
     if node.name == "COUNT":
-        return Value((F.count_distinct if node.distinct else F.count)(kept(v.column)), "int")
+        return Value((F.count_distinct if node.distinct else F.count)(kept(key_of(v))), "int")
+    v = as_kind(v, "real")
     x = v.column.cast("long") if v.kind == "bool" else v.column if v.kind in ("int", "real") else v.column.try_cast("double")
     make = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[node.name]
     kind = "real" if node.name == "AVG" or v.kind not in ("int", "bool") else "int"
@@ -70,16 +71,16 @@ def run_select(df: DataFrame, st: N.Select, fold_case: bool = False) -> DataFram
     if st.star:
         out = star_order(df)
         if st.distinct:
-            out = out.distinct()
+            out = out.select(*[key_of(compiler.value(N.Ref(c))).alias(c) for c in out.columns]).distinct()
             compiler = Compiler(resolver(out), fold_case=fold_case)
-        return _sorted(out, [(compiler.column(n), d) for n, d in st.order], st.limit)
+        return _sorted(out, [(key_of(compiler.value(n)), d) for n, d in st.order], st.limit)
     heads = names(st.items)
     if st.distinct:
-        out = df.select(*[compiler.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)]).distinct()
+        out = df.select(*[key_of(compiler.value(i.node)).alias(h) for i, h in zip(st.items, heads, strict=True)]).distinct()
         return _sorted(out, _output_order(st, out, heads), st.limit)
     # sort by a column of the table or of the result, before columns are dropped
     own = {h.lower(): i.node for i, h in zip(st.items, heads, strict=True) if i.alias}
-    order = [(compiler.column(own.get(n.name.lower(), n) if isinstance(n, N.Ref) else n), d) for n, d in st.order]
+    order = [(key_of(compiler.value(own.get(n.name.lower(), n) if isinstance(n, N.Ref) else n)), d) for n, d in st.order]
     return _sorted(df, order, st.limit).select(*[compiler.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)])
 
 
@@ -106,7 +107,7 @@ def _aggregate(df: DataFrame, st: N.Select, fold_case: bool) -> DataFrame:
         for x in N.walk(node):
             if isinstance(x, N.Aggregate) and x not in sums:
                 sums[x] = aggregate_column(x, df, fold_case)
-    key_values = [compiler.value(k) for k in keys]
+    key_values = [Value(key_of(v), "string" if v.kind == "variant" else v.kind) for v in map(compiler.value, keys)]
     grouped = df.groupBy(*[v.column.alias(f"_k{n}") for n, v in enumerate(key_values)])
     # the list is never empty, so that a SELECT without aggregates works as well
     out = grouped.agg(*([v.column.alias(f"_a{n}") for n, v in enumerate(sums.values())] or [F.count(F.lit(1)).alias("_a")]))
@@ -144,8 +145,10 @@ def _rank(df: DataFrame, st: N.Select, compiler: Compiler) -> DataFrame:
     for n, (i, h) in enumerate(zip(st.items, heads, strict=True)):
         if not isinstance(i.node, N.Ranking):
             continue
-        terms = [(compiler.column(t), d) for t, d in i.node.order]
-        spec = Window.partitionBy(*[compiler.column(N.Ref(p)) for p in i.node.partition]).orderBy(*[c.desc_nulls_first() if d else c.asc_nulls_last() for c, d in terms])
+        terms = [(key_of(compiler.value(t)), d) for t, d in i.node.order]
+        if i.node.name == "ROW_NUMBER":  # ties in the order of the table, as far as it has one
+            terms += [(F.col(f"`{c}`"), False) for c in df.columns if c in ("_seq", "Key")]
+        spec = Window.partitionBy(*[key_of(compiler.value(N.Ref(p))) for p in i.node.partition]).orderBy(*[c.desc_nulls_first() if d else c.asc_nulls_last() for c, d in terms])
         df = df.withColumn(f"_r{n}", functions[i.node.name]().over(spec))
         ranked[h.lower()] = f"_r{n}"
 

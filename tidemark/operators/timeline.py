@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 def latest(log: DataFrame, key: str, order: list[str], until: Column | None = None, op: str | None = None) -> DataFrame:
     """The last event of each key, optionally among those where `until` holds; keys deleted last are left out.
 
-    One aggregation with a map-side combine: a key with very many versions is reduced before the shuffle.
+    One aggregation with a map-side combine: a key with very many versions is reduced before the shuffle.  Each column
+    is an aggregate of its own, so columns that nobody asks for are not read.  The order must have no ties in a key.
     """
     if until is not None:
         log = log.filter(until)
-    rest = [c for c in log.columns if c != key]
-    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("_row")
-    out = log.groupBy(key).agg(row).select(key, "_row.*")
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    out = log.groupBy(key).agg(*[F.max_by(f"`{c}`", at).alias(c) for c in log.columns if c != key])
     return out.filter((F.col(op) != "delete") | F.col(op).isNull()) if op else out
 
 

@@ -69,11 +69,11 @@ class Shell:
         return "\n".join(f"{c} {kind}" for (t, c), kind in sorted(self.engine.indexes.items()) if t == mine) or "none"
 
     def do_addindex(self, column: str, table: str = "") -> str:
-        self.engine.indexes[(table or self.table).lower(), column] = "VALUE"
+        self.engine.index(table or self.table, column)
         return "added; it advises how files are sorted"
 
     def do_dropindex(self, column: str, table: str = "") -> str:
-        return "dropped" if self.engine.indexes.pop(((table or self.table).lower(), column), None) else "no such index"
+        return "dropped" if self.engine.index(table or self.table, column, None) else "no such index"
 
     def do_explain(self, *words: str) -> str:
         from .functions.expressions import Compiler, resolver
@@ -89,8 +89,7 @@ class Shell:
     def do_truncate(self, table: str = "") -> str:
         if not table:
             return "name a table to truncate"
-        rows = self.engine.table(table)
-        return f"{self.engine._commit_rows(table, rows, 'delete')} rows deleted"
+        return f"{self.engine.truncate(table)} rows deleted"
 
     def do_memory(self, table: str = "") -> str:
         name = table or self.table

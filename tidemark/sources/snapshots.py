@@ -48,10 +48,10 @@ def apply_events(log: ChangeLog, events: DataFrame, cursor: int, at: float | Non
     changes = fresh.filter(F.col("_op").isin("upsert", "delete"))
     if reset is not None:
         changes = changes.filter(F.col("_seq") > reset)
-        old = log.rows().drop("_seq", "_ts").withColumn("_op", F.lit("delete")).withColumn("_n", F.lit(0).cast("long"))
+        old = log.rows().drop("_seq", "_ts").withColumn("_op", F.lit("delete"))
         if not old.isEmpty():
             log.append(old, at)
-    renamed = changes.withColumn("_n", F.col("_seq") - cursor - 1).drop("_seq", "_ts")
+    renamed = changes.withColumn("_order", F.col("_seq") - cursor - 1).drop("_seq", "_ts")
     if not renamed.isEmpty():
         log.append(renamed, at)
     return last

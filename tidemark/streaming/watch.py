@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import Compiler, resolver
 from ..operators.select import names, star_order
 from ..plans import nodes as N
+from ..plans.lexer import QueryError
 
 
 def visible(events: DataFrame, condition: Column | None) -> DataFrame:
@@ -33,9 +35,18 @@ def replay(engine, st: N.Watch) -> DataFrame:
 
 
 def follow(engine, st: N.Watch) -> DataFrame:
-    """A stream of the changes committed to a table; a checkpoint of its query resumes it."""
+    """A stream of the changes committed to a table; a checkpoint of its query resumes it.
+
+    It reads the folder that commits are moved to: nothing that isn't committed, and nothing again after `compact`,
+    which writes elsewhere.  A consumer that hasn't read a folder before it was compacted has lost it; see
+    :func:`tidemark.streaming.exporters.lost`.
+    """
     log = engine.log(st.query.table)
     schema = log.events().schema
+    if any(isinstance(f.dataType, T.VariantType) for f in schema.fields):
+        raise QueryError(f"{st.query.table} has columns of several types, which can't be followed")
     head = log.head() if st.since == "NOW" else 0
-    events = engine.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(log.root)
+    fs, data = log._fs(f"{log.root}/data")
+    fs.mkdirs(data)
+    events = engine.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{log.root}/data")
     return _shaped(events.filter(F.col("_seq") > head), st)
