@@ -6,8 +6,11 @@ their id, and every vector is encoded with it.  A code of `bits` bits is cut int
 hash table; vectors of one label whose codes agree in a chunk, or differ there in one bit, are candidates, and are
 linked if their cosine in double precision reaches the threshold.  At cosine 0.98 a bit differs with probability
 0.064, so a pair is missed with probability 0.005 by the defaults, and less above.  None below is ever linked.
+Vectors are scaled by a power of two first, so very large and very small ones neither overflow nor vanish, and the
+cosine is one formula everywhere: products added in order, over the product of the norms.
 
-Copies of one vector in one label are one class, linked without a comparison.  Pairs of buckets with few pairs are
+Copies of one vector in one label, known by the SHA-256 of their components, are one class, linked without a
+comparison.  Pairs of buckets with few pairs are
 expanded; larger ones are compared as blocks of at most `BLOCK` vectors by a matrix product, which returns the
 number of links of each vector and a spanning forest, so a dense group never makes a row per pair.  A pair is
 counted in the first table that holds it.
@@ -19,6 +22,7 @@ share a component.  Empty tables give empty results.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ from .scratch import Scratch
 
 #: Vectors in a block; pairs of buckets with at most PAIRS pairs are expanded.
 BLOCK, PAIRS = 512, 64
+#: A matrix product is closer than this to the formula's cosine.
+NEAR = 1e-9
 
 
 def fit_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +63,56 @@ def fit_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 11) ->
     return mean, np.concatenate(out, 1)
 
 
-def _padded(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors as rows, with zeros up to `dim`."""
+_KEYED = "id long, label string, key binary, scaled array<double>"
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label, and for sound vectors their SHA-256 and the vector scaled so that its largest component is in
+    [0.5, 1)."""
+    for batch in batches:
+        column = batch.column(2)
+        at = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64) if len(column.values) else np.zeros(0)
+        there = column.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        keys, scaled = [], []
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            x = flat[a:b]
+            top = np.abs(x).max(initial=0.0) if there[i] else 0.0
+            if 0 < top < np.inf:  # not with NaN, which nulls are here
+                keys.append(hashlib.sha256((x + 0.0).tobytes()).digest())
+                scaled.append(np.ldexp(x, -np.frexp(top)[1]))
+            else:
+                keys.append(None)
+                scaled.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(scaled, pa.list_(pa.float64()))], names=["id", "label", "key", "scaled"])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, by the formula of the SQL side: products added in order."""
+
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            out += x[:, k] * y[:, k]
+        return out
+
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
+
+
+def _dense(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows, with zeros up to `dim`."""
     at = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
     size = np.diff(at)
     out = np.zeros((len(size), dim))
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(row)) - np.repeat(at[:-1] - at[0], size)] = flat[at[0] : at[-1]]
+    return out
+
+
+def _padded(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors as rows, with zeros up to `dim`."""
+    out = _dense(column, dim)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -107,13 +155,19 @@ def _blocks(threshold: float, width: int):
         code = table.column("code").to_numpy().view(np.uint64)
         vectors = table.column("embedding").combine_chunks()
         size = np.diff(vectors.offsets.to_numpy())
-        unit = _padded(vectors, int(size.max(initial=1)))
+        whole = _dense(vectors, int(size.max(initial=1)))
+        unit = whole / np.linalg.norm(whole, axis=1, keepdims=True)
         i = np.flatnonzero(side == 0)
         j = np.flatnonzero(side == 1)
         alone = not len(j)
         if alone:
             j = i
-        found = (unit[i] @ unit[j].T >= threshold) & (size[i][:, None] == size[j][None, :])
+        about = unit[i] @ unit[j].T
+        found = (about >= threshold + NEAR) & (size[i][:, None] == size[j][None, :])
+        r, c = np.nonzero((np.abs(about - threshold) < NEAR) & (size[i][:, None] == size[j][None, :]))
+        for lo in range(0, len(r), 4096):  # decided by the formula
+            a, b = r[lo : lo + 4096], c[lo : lo + 4096]
+            found[a, b] = _cosines(whole[i[a]], whole[j[b]]) >= threshold
         for earlier in range(t):
             found &= ~near(code[i], code[j], earlier)
         if alone:
@@ -153,10 +207,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, ta
     scratch = Scratch(spark, "itq")
     width = bits // tables
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
-    sound = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(F.coalesce(finite, F.lit(False)))
-    classes = sound.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
-    classes = scratch.save(classes.select("rep", "label", "mult", "embedding"), "classes")
+    rows = scratch.save(rows.mapInArrow(_keyed, _KEYED), "rows")
+    classes = rows.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("scaled").alias("embedding"))
+    classes = scratch.save(classes.select("rep", "label", "key", "mult", "embedding"), "classes")
     dim = classes.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
     if dim is None:  # nothing can link
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -220,7 +273,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, ta
     edges = linked.select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")).unionByName(blocks_.filter("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     component = connected_components(edges, scratch).toDF("rep", "component")
     found = classes.join(counted, "rep", "left").join(component, "rep", "left")
-    found = scratch.save(found.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "found")
-    out = rows.join(found, ["label", "embedding"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
+    found = scratch.save(found.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "found")
+    out = rows.drop("scaled").join(found, ["label", "key"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
     return out.select(F.col("id").alias(id_col), links.alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
