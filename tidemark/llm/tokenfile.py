@@ -11,7 +11,8 @@ skippable frames follow, so any Zstandard tool can read the file:
 
 A reader seeks to the end, reads the table and the index, and decompresses the frames it needs.
 
-Documents are written in ascending id order, null ids first, ties in no fixed order; null texts are empty and hold
+Ids are 2 bytes wide if the tokenizer's vocabulary fits, else 4; one that doesn't fit its width is an error.
+Documents are written in ascending id order, null ids first, rows that share an id by a hash of their text; null texts are empty and hold
 the end id alone.  Files hold ranges of ids, and `start` counts the ids of all documents before, over all files.  A
 file appears under its name when it is whole, and a task that is tried again replaces it.  Empty tables make no
 file and an empty result.  Other columns are ignored.
@@ -42,6 +43,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 256 << 10
+#: Files whose starts are summed together.
+RUN = 1024
 _ENTRY = struct.Struct("<III")
 _FOOTER = struct.Struct("<IBI")
 
@@ -59,6 +62,8 @@ class TokenFileWriter:
         self.size = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.kind.itemsize} bytes")
         data = ids.astype(self.kind).tobytes()
         self.doc_ids.append(doc_id)
         self.counts.append(len(ids))
@@ -86,7 +91,7 @@ class TokenFileWriter:
         index += np.array([x or 0 for x in self.doc_ids], "<i8").tobytes() + np.array(self.counts, "<u8").tobytes()
         packed = self.zstd.compress(index)
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(packed)) + packed)
-        self.table.append(_ENTRY.pack(len(packed) + 8, 0, 0))
+        self.table.append(_ENTRY.pack(len(packed) + 8, 0, xxhash.xxh64_intdigest(packed) & 0xFFFFFFFF))
         body = b"".join(self.table) + _FOOTER.pack(len(self.table), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_TABLE, len(body)) + body)
 
@@ -107,7 +112,10 @@ class TokenFileReader:
         self.file_at = np.concatenate(([0], np.cumsum(table[:-1, 0])))
         self.raw_at = np.concatenate(([0], np.cumsum(table[:-1, 1])))
         stream.seek(int(self.file_at[-1]) + 8)
-        index = self.zstd.decompress(stream.read(int(table[-1, 0]) - 8))
+        packed = stream.read(int(table[-1, 0]) - 8)
+        if xxhash.xxh64_intdigest(packed) & 0xFFFFFFFF != table[-1, 2]:
+            raise ValueError("the document index has a wrong checksum")
+        index = self.zstd.decompress(packed)
         version, width, docs = struct.unpack_from("<BBQ", index)
         if version != 1:
             raise ValueError(f"unknown version {version}")
@@ -142,7 +150,7 @@ class TokenFileReader:
         return np.frombuffer(b"".join(out), self.kind)
 
 
-def _write(tokenizer: str, root: str, width: int):
+def _write(tokenizer: str, root: str, width: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path = f"{root}/part-{part:06d}.tok"
@@ -151,7 +159,7 @@ def _write(tokenizer: str, root: str, width: int):
             for batch in K.chunks(batches, "text"):
                 if writer is None:
                     out = AtomicOutput(path)
-                    writer = TokenFileWriter(out, width)
+                    writer = TokenFileWriter(out, width or (2 if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4))
                 flat, at = encoder(tokenizer).encode(batch.column(1))
                 for i, doc in enumerate(batch.column(0).to_pylist()):
                     writer.add(doc, flat[at[i] : at[i + 1]])
@@ -168,14 +176,15 @@ def _write(tokenizer: str, root: str, width: int):
     return run
 
 
-def write_token_files(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 32 << 20, width: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, root: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 32 << 20, width: int | None = None) -> DataFrame:
     """Encode all texts, with the end id after each, and write them below `root` in ascending id order.
 
     Returns the files written: part, path, bytes, docs, tokens.  `file_bytes` is the text meant for one file.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     n = parts(docs.sparkSession, total_bytes(docs), file_bytes)
-    ordered = docs.repartitionByRange(n, "id").sortWithinPartitions("id")
+    docs = docs.withColumn("tie", F.xxhash64("text"))  # so that rows of one id, or of none, needn't share a file
+    ordered = docs.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "text").drop("tie")
     return ordered.mapInArrow(_write(tokenizer, root, width), "part long, path string, bytes long, docs long, tokens long")
 
 
@@ -209,8 +218,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(files: DataFrame, digest: bool = False) -> DataFrame:
     """The documents of the files of :func:`write_token_files`: doc_id, start and ids, or with `digest` n_tokens and
     ids_crc32 in place of the ids."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    placed = files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    run = files.withColumn("run", F.floor(F.col("part") / RUN))
+    runs = run.groupBy("run").agg(F.sum("tokens").alias("tokens"))  # a row for RUN files
+    runs = runs.select("run", F.coalesce(F.sum("tokens").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = run.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(runs, "run").withColumn("start", F.col("start") + F.col("base")).drop("run", "base")
     spread = placed.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
     if digest:
         return spread.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
