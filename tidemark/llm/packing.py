@@ -194,15 +194,22 @@ def _evolve(pieces: DataFrame, capacity: int, islands: int, epochs: int, scratch
 
 
 def pack(pieces: DataFrame, capacity: int, scratch: Scratch, group_size: int = 4096, islands: int = 2, epochs: int = 2) -> DataFrame:
-    """Sequences for pieces (uid long, distinct; length, at most `capacity`): uid, sequence_id."""
+    """Sequences for pieces (uid long, distinct; length, at most `capacity`): uid, sequence_id.
+
+    Sequence numbers are distinct by construction: even ones come from the uid of a full piece, odd ones from level,
+    group and bin.
+    """
     small = pieces.filter(F.col("length") < capacity).select("uid", F.col("length").cast("long").alias("length"))
     groups = max(1, -(-small.count() // group_size))
     level = 0
     left = small.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)).cast("long"))
-    done = pieces.filter(F.col("length") >= capacity).select("uid", F.concat_ws("-", F.lit("full"), "uid").alias("bin_key"))
+    done = pieces.filter(F.col("length") >= capacity).select("uid", (F.col("uid") * 2).alias("sequence_id"))
     while True:
         packed = _evolve(left, capacity, islands, epochs, scratch)
-        key = F.concat_ws("-", F.lit(level), "group", "bin").alias("bin_key")
+        if level >= 16 or groups >= 1 << 36:
+            raise ValueError("too many pieces to number their sequences")
+        number = ((F.lit(level).cast("long") * (1 << 36) + F.col("group")) * (1 << 20) + F.col("bin")) * 2 + 1
+        key = F.when(F.col("bin") < 1 << 20, number).otherwise(F.raise_error(F.lit("a group has too many bins"))).alias("sequence_id")
         if groups == 1:
             break
         fill = packed.groupBy("group", "bin").agg(F.sum("length").alias("fill"))
@@ -213,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int, scratch: Scratch, group_size: int = 4
         groups = -(-groups // FAN_IN)
         left = packed.join(opened, ["group", "bin"], "left_semi").select("uid", "length", F.floor(F.col("group") / FAN_IN).cast("long").alias("group"))
         level += 1
-    return done.unionByName(packed.select("uid", key)).select("uid", F.xxhash64("bin_key").alias("sequence_id"))
+    return done.unionByName(packed.select("uid", key))
 
 
 def _pieces(tokenizer: str, capacity: int):
