@@ -102,8 +102,9 @@ def write_warc(pages: DataFrame, root: str, compress: bool = True, min_bytes: in
     """Write (page_id, url, html) below `root`; returns the files: path, bytes, records."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha1("html")))
-    repeated = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "response")
+    # payloads too small to be referred to get keys of their own, none of which comes twice in `repeated`
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    repeated = rows.filter(~F.col("digest").startswith("-")).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "response")
     marked = rows.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).first()["b"]
     if size > file_bytes * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
@@ -115,9 +116,9 @@ class _Window:
     """Bytes of a file, read as they are asked for."""
 
     def __init__(self, stream, start: int, size: int):
-        self.stream, self.start, self.size, self.data = stream, start, size, b""
+        self.stream, self.start, self.size, self.data = stream, start, size, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         end = min(end, self.size)
         have = self.start + len(self.data)
         if end > have:
@@ -165,7 +166,7 @@ def _plain_head(window: _Window, at: int) -> tuple[dict[str, str], int] | None:
     """The header of a plain record at `at`, as far as it reaches."""
     size = HEAD_BYTES
     while True:
-        data = window.upto(at + size)[at - window.start : at - window.start + size]
+        data = bytes(window.upto(at + size)[at - window.start : at - window.start + size])
         if b"\r\n\r\n" in data:
             return parse_head(data)
         if not MAGIC.match(data) or at + size >= window.size or any(b":" not in line for line in data.split(b"\r\n")[1:-1]):
@@ -190,7 +191,7 @@ def _record(window: _Window, at: int, compress: bool) -> tuple[dict[str, str], b
     if hi + 4 > window.size:
         return None
     data = window.upto(hi + 4)
-    return head[0], data[lo - window.start : hi - window.start], hi + 4
+    return head[0], bytes(data[lo - window.start : hi - window.start]), hi + 4
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with open_input(f["path"]) as stream:
                 window = _Window(stream, f["lo"], f["bytes"])
                 data = window.upto(f["hi"] + 16)
-                for m in (GZIP_MAGIC if compress else MAGIC).finditer(data):
-                    pos = f["lo"] + m.start()
+                for start in [m.start() for m in (GZIP_MAGIC if compress else MAGIC).finditer(data)]:
+                    pos = f["lo"] + start
                     if pos >= f["hi"]:
                         break
                     if compress:
@@ -225,23 +226,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(ranges: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ranges with the offset at which the chain from the file's start enters each: by pointer jumping."""
+    """The ranges with the offset at which the chain from the file's start enters each: by pointer jumping.
+
+    A round adds the offsets that one hop from the known ones reaches, and then doubles the hops: from all offsets
+    less than n hops away to all less than 2n.  Hops that lead past the end go, so there never are more than at first.
+    """
     hops = ranges.select("path", F.explode(F.arrays_zip("at", "exit")).alias("x")).select("path", F.col("x.at").alias("at"), F.col("x.exit").alias("to"))
     ends = hops.select("path", F.col("to").alias("at")).distinct()
-    hops = scratch.save(hops.filter("at = 0").unionByName(hops.filter("at > 0").join(ends, ["path", "at"], "left_semi")), "hops")
-    reached = scratch.save(hops.filter("at = 0").select("path", "at"), "reached")
-    known = reached.count()
-    while True:
-        onward = hops.join(reached, ["path", "at"]).select("path", F.col("to").alias("at")).filter("at >= 0")
+    hops = hops.filter("at = 0").unionByName(hops.filter("at > 0").join(ends, ["path", "at"], "left_semi"))
+    hops = scratch.save(hops.filter("to >= 0").distinct(), "hops")
+    reached = scratch.save(ranges.select("path", F.lit(0).cast("long").alias("at")).distinct(), "reached")
+    while not hops.isEmpty():
+        onward = hops.join(reached, ["path", "at"]).select("path", F.col("to").alias("at"))
         more = scratch.save(reached.unionByName(onward).distinct(), "reached")
-        scratch.drop(reached)
-        reached, before, known = more, known, more.count()
-        if known == before:
-            break
-        a, b = hops.alias("a"), hops.alias("b")
-        twice = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.to") == F.col("b.at")), "left")
-        longer = scratch.save(twice.select(F.col("a.path").alias("path"), F.col("a.at").alias("at"), F.coalesce("b.to", "a.to").alias("to")), "hops")
-        hops = longer.unionByName(hops).distinct()
+        next_ = hops.select("path", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        twice = scratch.save(hops.join(next_, ["path", "to"]).select("path", "at", F.col("beyond").alias("to")), "hops")
+        scratch.drop(reached, hops)
+        reached, hops = more, twice
     entry = ranges.join(reached.withColumnRenamed("at", "entry"), "path").filter("entry >= lo and entry < hi")
     return entry.groupBy("path", "lo").agg(F.min("entry").alias("entry"))
 
