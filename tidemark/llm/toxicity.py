@@ -7,8 +7,9 @@ prediction each category has one model trained on the whole sample.
 
 A text's features are its distinct words, lower-cased (A-Z only), and the first 5 and 6 bytes of longer words, as
 64-bit hashes; a feature enters with its log-odds in the training sample (a naive Bayes scale), and logistic
-regression with an L2 penalty weighs them.  Models are fitted on the driver on at most `sample` labelled texts,
-those with the smallest hash of their id; features in fewer than `least` of them are left out.  Scoring covers every
+regression with an L2 penalty weighs them.  Models are fitted on the driver on at most `sample` labelled texts of
+`sample_bytes` bytes in all, taken by the hash of their id, so that the driver's memory is bounded whatever the texts;
+of rows that share an id the first text by order trains.  Features in fewer than `least` of them are left out.  Scoring covers every
 row and whole text.
 
 Null and empty texts have no features and get the models' constant, but are never rejected.  Rows with a null
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .scratch import bound_batches
+from .scratch import Scratch
 
 PREFIXES = (5, 6)
 
@@ -170,17 +171,21 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), lists], names=[*(batch.schema.names[i] for i in keep), "features"])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 7000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> ClassifierChain:
-    """Fit on at most `sample` labelled texts.  `categories` names, in chain order, a label column and the value
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], sample: int = 7000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 32 << 20) -> ClassifierChain:
+    """Fit on at most `sample` labelled texts of `sample_bytes` in all.  `categories` names, in chain order, a label column and the value
     that is positive."""
-    bound_batches(docs.sparkSession)
     names = list(categories)
     wanted = [F.max((F.col(f"`{c}`") == v).cast("double")).alias(f"y{k}") for k, (c, v) in enumerate(categories.values())]
     chosen = labels.filter(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("id")).agg(*wanted)
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("fold", F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)).cast("int"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = "".join(f", y{k} double" for k in range(len(names)))
-    rows = text.join(chosen, "id").select("id", "fold", *[f"y{k}" for k in range(len(names))], "text").mapInArrow(_features_of, f"id long, fold int{kinds}, features array<long>").toArrow()
+    labelled = text.join(chosen, "id").groupBy("id", "fold", *[f"y{k}" for k in range(len(names))]).agg(F.min("text").alias("text"))
+    labelled = scratch.save(labelled.withColumn("h", F.xxhash64("id")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "labelled")
+    running = F.sum("size").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))  # over `sample` rows without their texts
+    within = labelled.filter(F.col("size") <= sample_bytes).select("h", "id", "size").withColumn("running", running).filter(F.col("running") <= sample_bytes).select("id")
+    rows = labelled.join(within, "id", "left_semi").select("id", "fold", *[f"y{k}" for k in range(len(names))], "text").mapInArrow(_features_of, f"id long, fold int{kinds}, features array<long>").toArrow()
     rows = rows.sort_by("id").combine_chunks()
     if not rows.num_rows:
         return ClassifierChain(names, np.zeros(0, np.uint64), [LinearModel(np.zeros(0), np.zeros(k), -40.0) for k in range(len(names))], 0.5)
