@@ -121,20 +121,18 @@ def _normalised(with_text: bool):
 
 
 def _filters(block_bits: int, quotient_bits: int):
-    """One filter a block over all fingerprints of a partition."""
+    """One filter a block over all fingerprints of a partition, which are sorted once."""
     bits = 64 - block_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, CountingQuotientFilter] = {}
-        for batch in batches:
-            value = batch.column(0).to_numpy().view(U64)
-            block = (value >> U64(bits) if block_bits else value * U64(0)).astype(np.int64)
-            inner = value & U64((1 << bits) - 1)
-            for b in np.unique(block).tolist():
-                mine = inner[block == b]
-                new = CountingQuotientFilter.build(mine, np.ones(len(mine), np.int64), bits, quotient_bits)
-                held[b] = CountingQuotientFilter.merge([held[b], new]) if b in held else new
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(held), pa.int32()), "filter": pa.array([x.to_bytes() for x in held.values()], pa.binary())})
+        held = [batch.column(0).to_numpy().view(U64) for batch in batches]
+        value = np.sort(np.concatenate(held)) if held else np.zeros(0, U64)
+        block = (value >> U64(bits) if block_bits else value * U64(0)).astype(np.int64)
+        bounds = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(value)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            mine = value[a:b] & U64((1 << bits) - 1)
+            one = CountingQuotientFilter.build(mine, np.ones(len(mine), np.int64), bits, quotient_bits)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block[a]], pa.int32()), "filter": pa.array([one.to_bytes()], pa.binary())})
 
     return run
 
