@@ -8,26 +8,29 @@ independent tables.  Texts that meet in a table are candidates and are verified
 A pair of similarity s is missed when it agrees in no key of one collection: at most ``2 * (1 - s**rows)**tables``,
 which is 0.0005 at s = 0.75 for the defaults and 0.000001 at s = 0.9.
 
-Texts whose shingle sets are equal form a class and are linked without a comparison; only one of each class goes
-on.  A table's bucket is never expanded into pairs: first its members are compared with the bucket's smallest id.
-Buckets whose members then are in one component are done.  The texts of the others are compared in blocks, across
-components only.  So no link that the tables find is lost to the grouping, and a bucket of copies costs one
-comparison a member.
+Texts whose shingle sets are equal, by a cryptographic digest of the sorted set, form a class and are linked without
+a comparison; only one of each class goes on, known by a number of its own.  A table's bucket is never expanded into
+pairs: first its members are compared with the bucket's first.  Buckets whose members then are in one component are
+done.  Each other bucket is compared in one task, across components only, if it is small; buckets of equal members
+once.  Texts of large open buckets are compared in blocks.  So no link that the tables find is lost to the grouping,
+a bucket of copies costs one comparison a member, and what moves grows with the buckets' members.  Comparisons take
+shingle hashes; texts travel once.
 
 Nulls and texts without words have an empty set and link with nothing.  A text of fewer words than `width` has its
 whole sequence as its one shingle.  Rows with a null id are dropped from the result's links but keep their row
-(component null).  Ids are expected to be distinct; rows that share an id share a component.  Empty tables give
+(component null).  Rows that share an id are compared each by its own text.  Empty tables give
 empty results.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
@@ -35,8 +38,8 @@ from .components import connected_components
 from .scratch import Scratch, columns
 
 U64 = np.uint64
-#: Members that one comparison task holds for one leading text.
-BLOCK = 256
+#: Members, and their shingles, that one comparison task is meant to hold.
+BLOCK, WEIGHT = 256, 1 << 19
 _SIGNATURE = "id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
 
 
@@ -66,6 +69,37 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(n)))))
 
 
+def _digests(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each set, as two numbers."""
+    bounds = at.tolist()
+    return np.frombuffer(b"".join(hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)), np.int64).reshape(-1, 2)
+
+
+def _sets(width: int):
+    """Rows (rep, set_a, set_b, text) to the shingles of each rep, once a task; other texts of the same id go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in K.chunks(batches, "text"):
+            sets, at = shingle_sets(batch.column(3), width)
+            rep, a, b = (batch.column(i).to_numpy() for i in range(3))
+            digest = _digests(sets, at)
+            keep = [i for i in np.flatnonzero((digest[:, 0] == a) & (digest[:, 1] == b)).tolist() if rep[i] not in seen and not seen.add(int(rep[i]))]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array([sets[at[i] : at[i + 1]].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    return run
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column of shingles."""
+    if not len(column):
+        return []
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _signatures(width: int, rows: int, tables: int):
     half = rows * tables
     rng = np.random.default_rng(7)
@@ -83,15 +117,14 @@ def _signatures(width: int, rows: int, tables: int):
             sets, at = shingle_sets(batch.column(1), width)
             full = np.flatnonzero(np.diff(at))
             mins = np.zeros((2 * half, len(full)), U64)
-            sums = np.zeros((2, batch.num_rows), U64)
+            digest = np.zeros((batch.num_rows, 2), np.int64)
             if len(full):
                 top = sets >> U64(1)
                 for h in range(2 * half):
                     x = (top ^ plus[h]) * mult[h]
                     x ^= x >> U64(29)
                     mins[h] = np.minimum.reduceat(x, at[:-1][full])
-                for h in range(2):
-                    sums[h][full] = np.add.reduceat(K.mix(sets + plus[h]), at[:-1][full])
+                digest[full] = _digests(sets, at)[full]
             pair = []
             offsets = np.zeros(batch.num_rows + 1, np.int32)
             offsets[1:] = np.cumsum((np.diff(at) > 0) * tables)
@@ -99,14 +132,14 @@ def _signatures(width: int, rows: int, tables: int):
                 flat = keys(side).reshape(-1).view(np.int64)
                 pair.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), *(pa.array(x.view(np.int64)) for x in sums), *pair],
+                [batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), *pair],
                 names=["id", "n_shingles", "set_a", "set_b", "left", "right"],
             )
 
     return run
 
 
-def _verify(width: int, threshold: Fraction):
+def _verify(threshold: Fraction):
     """Compare one text (rows with role 0) with the members of its block (role 1); emits linked pairs."""
     top, bottom = threshold.numerator, threshold.denominator
 
@@ -116,15 +149,13 @@ def _verify(width: int, threshold: Fraction):
         lead: np.ndarray | None = None
         lead_id = key[0].as_py()
         roles = table.column("role").to_numpy()
-        text = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        sets = _lists(table.column("shingles"))
         for i in np.flatnonzero(roles == 0)[:1]:
-            lead = shingle_sets(text.slice(int(i), 1), width)[0]
+            lead = sets[i]
         members = np.flatnonzero(roles == 1)
         if lead is not None:
             for i in members:
-                own = shingle_sets(text.slice(int(i), 1), width)[0]
-                if not len(own):
-                    continue
+                own = sets[i]
                 where = np.searchsorted(lead, own)
                 where[where == len(lead)] = len(lead) - 1
                 both = int((lead[where] == own).sum())
@@ -136,16 +167,21 @@ def _verify(width: int, threshold: Fraction):
     return run
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
-    """Of pairs (src, dst), those whose texts are similar.  A text that leads many pairs is copied once a block."""
+def _blocks(n: Column, shingles: Column) -> Column:
+    """Blocks for so many sets of so many shingles in all."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / WEIGHT)).cast("int")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Of pairs (src, dst, size of dst), those that are similar.  A set that leads many pairs is copied once a block."""
     pairs = scratch.save(pairs.distinct(), "pairs")
-    blocks = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = pairs.groupBy("src").agg(_blocks(F.count(F.lit(1)), F.sum("m")).alias("blocks"))
     placed = pairs.join(blocks, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int").alias("block"))
-    member = placed.join(texts.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("lead"), "block", F.lit(1).alias("role"), F.col("dst").alias("id"), "text")
-    lead = blocks.join(texts.withColumnRenamed("id", "src"), "src").select(
-        F.col("src").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("src").alias("id"), "text"
+    member = placed.join(sets.withColumnRenamed("rep", "dst"), "dst").select(F.col("src").alias("lead"), "block", F.lit(1).alias("role"), F.col("dst").alias("id"), "shingles")
+    lead = blocks.join(sets.withColumnRenamed("rep", "src"), "src").select(
+        F.col("src").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("src").alias("id"), "shingles"
     )
-    found = lead.unionByName(member).groupBy("lead", "block").applyInArrow(_verify(width, threshold), "src long, dst long")
+    found = lead.unionByName(member).groupBy("lead", "block").applyInArrow(_verify(threshold), "src long, dst long")
     return scratch.save(found, "links")
 
 
@@ -168,14 +204,13 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _between(width: int, threshold: Fraction):
+def _between(threshold: Fraction):
     """Compare two blocks (side 0 and 1, or one block with itself) across components; emits a spanning forest."""
     top, bottom = threshold.numerator, threshold.denominator
 
     def run(key, table):
         table = table.combine_chunks()
-        column = table.column("text").combine_chunks()
-        sets = [shingle_sets(column.slice(i, 1), width)[0] for i in range(table.num_rows)]
+        sets = _lists(table.column("shingles"))
         side = table.column("side").to_numpy()
         rep, c = table.column("rep").to_numpy(), table.column("c").to_numpy()
         i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -205,21 +240,27 @@ def _between(width: int, threshold: Fraction):
     return run
 
 
-def _compare_apart(rest: DataFrame, texts: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
-    """Links across components among texts (rep, component c) that share buckets with `lead`.
+def _compare_small(rest: DataFrame, keys: DataFrame, sets: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Links across components within each of some buckets, every bucket in one task."""
+    members = rest.join(keys.select("key"), "key", "left_semi").select("key", "rep", "c", F.lit(0).alias("side"))
+    return scratch.save(members.join(sets, "rep").groupBy("key").applyInArrow(_between(threshold), "src long, dst long"), "links")
+
+
+def _compare_apart(rest: DataFrame, sets: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Links across components among texts (rep, component c, m shingles) that share large buckets with `lead`.
 
     Texts connected by shared buckets form a family.  A family is cut into blocks of about BLOCK texts, whole
     components together unless they are larger, and each pair of blocks is compared as a product of incidence
     matrices; so a family of n texts sends each of them to n / BLOCK tasks and makes no rows for pairs.
     """
     family = connected_components(rest.select(F.col("lead").alias("src"), F.col("rep").alias("dst")), scratch).toDF("rep", "family")
-    docs = scratch.save(rest.select("rep", "c").distinct().join(family, "rep"), "families")
-    size = docs.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n"))
-    small = size.filter(F.col("n") < BLOCK).groupBy("family").agg(F.sum("n").alias("small"))
+    docs = scratch.save(rest.select("rep", "c", "m").distinct().join(family, "rep"), "families")
+    size = docs.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("w"))
+    large = (F.col("n") >= BLOCK) | (F.col("w") >= WEIGHT)
+    small = size.filter(~large).groupBy("family").agg(_blocks(F.sum("n"), F.sum("w")).alias("small"))
     size = scratch.save(size.join(small, "family", "left"), "sizes")
-    large = F.col("n") >= BLOCK
     docs = docs.join(size, ["family", "c"]).withColumn("of", F.when(large, F.col("c")))
-    docs = docs.withColumn("block", F.when(large, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("small") / BLOCK))))
+    docs = docs.withColumn("block", F.when(large, F.pmod(F.xxhash64("rep"), _blocks(F.col("n"), F.col("w")))).otherwise(F.pmod(F.xxhash64("c"), F.col("small"))))
     docs = scratch.save(docs.select("family", "rep", "c", F.concat_ws("-", "of", "block").alias("block"), "of"), "blocks")
     block = docs.select("family", "block", "of").distinct()
     a, b = block.alias("a"), block.alias("b")
@@ -228,7 +269,7 @@ def _compare_apart(rest: DataFrame, texts: DataFrame, width: int, threshold: Fra
     first = pairs.join(docs.withColumnRenamed("block", "x"), ["family", "x"]).withColumn("side", F.lit(0))
     second = pairs.filter("x < y").join(docs.withColumnRenamed("block", "y"), ["family", "y"]).withColumn("side", F.lit(1))
     sides = first.select("family", "x", "y", "side", "rep", "c").unionByName(second.select("family", "x", "y", "side", "rep", "c"))
-    found = sides.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("family", "x", "y").applyInArrow(_between(width, threshold), "src long, dst long")
+    found = sides.join(sets, "rep").groupBy("family", "x", "y").applyInArrow(_between(threshold), "src long, dst long")
     return scratch.save(found, "links")
 
 
@@ -246,40 +287,53 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = scratch.save(docs.mapInArrow(_signatures(width, rows, tables), _SIGNATURE), "signatures")
-    sets = ["n_shingles", "set_a", "set_b"]
-    # a class is a set of shingles; its smallest id stands for it
-    classes = signed.filter("n_shingles > 0 and id is not null").groupBy(*sets).agg(
-        F.min("id").alias("rep"), F.min_by("left", "id").alias("left"), F.min_by("right", "id").alias("right")
+    same = ["n_shingles", "set_a", "set_b"]
+    # a class is a set of shingles; `first` is its smallest id, `rep` its number
+    classes = signed.filter("n_shingles > 0 and id is not null").groupBy(*same).agg(
+        F.min("id").alias("first"), F.min_by("left", "id").alias("left"), F.min_by("right", "id").alias("right")
     )
-    classes = scratch.save(classes, "classes")
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     i, j = (F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias(x) for x in "ij")
+    m = F.col("n_shingles").alias("m")
     keys = (
-        classes.select("rep", "left", "right", i)
-        .select("rep", "right", F.col("i"), F.col("left")[F.col("i")].alias("a"), j)
-        .select("rep", F.xxhash64("i", "j", "a", F.col("right")[F.col("j")]).alias("key"))
+        classes.select("rep", m, "left", "right", i)
+        .select("rep", "m", "right", F.col("i"), F.col("left")[F.col("i")].alias("a"), j)
+        .select("rep", "m", F.xxhash64("i", "j", "a", F.col("right")[F.col("j")]).alias("key"))
     )
-    lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.save(keys.join(lead, "key").select("key", "rep", "lead", "n"), "members")
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    texts = scratch.save(docs.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    links = _compare(members.filter("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")), texts, width, threshold, scratch)
+    lead = keys.groupBy("key").agg(F.min(F.struct("rep", "m")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lead = lead.select("key", F.col("lead.rep").alias("lead"), F.col("lead.m").alias("lead_m"), "n")
+    members = scratch.save(keys.join(lead, "key").select("key", "rep", "m", "lead", "lead_m", "n"), "members")
+    involved = classes.join(members.select("rep").distinct(), "rep").select(F.col("first").alias("id"), "rep", "set_a", "set_b")
+    sets = scratch.save(docs.join(involved, "id").select("rep", "set_a", "set_b", "text").mapInArrow(_sets(width), "rep long, shingles array<long>"), "sets")
+
+    # sets of very different sizes can't be similar
+    possible = F.least("m", "lead_m") * threshold.denominator >= F.greatest("m", "lead_m") * threshold.numerator
+    pairs = members.filter("rep <> lead").filter(possible).select(F.col("lead").alias("src"), F.col("rep").alias("dst"), "m")
+    links = _compare(pairs, sets, threshold, scratch)
     component = connected_components(links, scratch)
 
     # buckets of more than two members that still are in several components
     own = component.withColumnRenamed("node", "rep")
-    shared = members.filter("n > 2").join(own, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("c"))
-    split = shared.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    rest = scratch.save(shared.join(split, "key", "left_semi").select("rep", "lead", "c").distinct(), "open")
-    if not rest.isEmpty():
-        more = _compare_apart(rest, texts, width, threshold, scratch)
+    shared = members.filter("n > 2").join(own, "rep", "left").select("key", "rep", "m", "lead", F.coalesce("component", "rep").alias("c"))
+    inside = [F.count(F.lit(1)).alias("n"), F.sum("m").alias("w"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("total")]
+    split = shared.groupBy("key").agg(*inside).filter("low < high")
+    split = scratch.save(split.groupBy("n", "w", "low", "high", "mark", "total").agg(F.min("key").alias("key")), "split")  # equal members once
+    if not split.isEmpty():
+        rest = scratch.save(shared.join(split.select("key"), "key", "left_semi"), "open")
+        small = (F.col("n") <= BLOCK) & (F.col("w") <= WEIGHT)
+        more = _compare_small(rest, split.filter(small), sets, threshold, scratch)
+        wide = rest.join(split.filter(~small).select("key"), "key", "left_semi").select("rep", "m", "lead", "c").distinct()
+        if not split.filter(~small).isEmpty():
+            more = more.unionByName(_compare_apart(scratch.save(wide, "wide"), sets, threshold, scratch))
         component = connected_components(scratch.save(links.unionByName(more), "links"), scratch)
 
-    rep = classes.select(*sets, "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", *sets).join(rep, sets, "left")
-    found = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("kept"))
+    found = classes.select(*same, "first", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "first", F.coalesce("component", "rep").alias("component"))
+    found = scratch.save(found, "found")
+    low = found.groupBy("component").agg(F.min("first").alias("low"))
+    out = signed.select("id", *same).join(found.join(low, "component").select(*same, "low"), same, "left")
+    smallest = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", smallest.alias("component_id"), F.coalesce(F.col("id") == smallest, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
