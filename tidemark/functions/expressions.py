@@ -23,6 +23,7 @@ from ..plans.lexer import QueryError
 class Value:
     column: Column
     kind: str
+    time: Column | None = None  # the timestamp behind whole seconds, for comparisons that a scan can check
 
 
 UNDEFINED = "null"
@@ -58,7 +59,10 @@ def resolver(df: DataFrame, prefix: str = "") -> Resolver:
         f = found.get(ref.name.lower())
         if f is None:
             return Value(F.lit(None), UNDEFINED)
-        return Value(F.col(f"{prefix}`{f.name}`"), kind_of(f.dataType))
+        column = F.col(f"{prefix}`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):  # the dialect's times are seconds
+            return Value(F.unix_timestamp(column.cast("timestamp")), "int", column if isinstance(f.dataType, T.TimestampType) else column.cast("timestamp_ntz"))
+        return Value(column, kind_of(f.dataType))
 
     return look
 
@@ -169,8 +173,7 @@ class Compiler:
                 return self.look(node)
             case N.Bucket(column, width):
                 ts = self.look(N.Ref(column))
-                at = F.unix_timestamp(ts.column) if ts.kind == "any" else ts.column
-                return Value((F.floor(at / width) * width).cast("long"), "int")
+                return Value((F.floor(ts.column / width) * width).cast("long"), "int")
             case N.ListOf(items):
                 return Value(F.array(*[self.column(x) for x in items]), "list")
             case N.Unary("!", a):
@@ -231,6 +234,8 @@ class Compiler:
             found = F.regexp_like(x, y)
             return Value(found if op == "=~" else ~found, "bool")
         if op in ("==", "!=", "<", "<=", ">", ">="):
+            if (timed := _on_time(op, a, b, node)) is not None:
+                return Value(timed, "bool")
             if self.fold_case and a.kind == b.kind == "string":
                 x, y = F.lower(x), F.lower(y)
             compare = {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}
@@ -247,6 +252,30 @@ class Compiler:
         return Value({"&": x.bitwiseAND(y), "|": x.bitwiseOR(y), "^": x.bitwiseXOR(y)}[op], "int")
 
 
+_MIRRORED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+
+
+def _on_time(op: str, a: Value, b: Value, node: N.Binary) -> Column | None:
+    """A time's whole seconds compared with a constant, as bounds on the timestamp itself."""
+    if a.time is None:
+        if b.time is None:
+            return None
+        return _on_time(_MIRRORED[op], b, a, N.Binary(_MIRRORED[op], node.right, node.left))
+    if not isinstance(node.right, N.Literal) or type(node.right.value) is not int or op == "!=":
+        return None
+
+    def at(n: int) -> Column:
+        return F.timestamp_seconds(F.lit(n)).cast(_time_type(a))
+
+    n = node.right.value
+    after, before = a.time >= at(n + (op == ">")), a.time < at(n + (op != "<"))
+    return {"==": after & before, "<": before, "<=": before}.get(op, after)
+
+
+def _time_type(v: Value) -> str:
+    return "timestamp_ntz" if "timestamp_ntz" in v.time._jc.toString().lower() else "timestamp"
+
+
 def _int_div(x: Column, y: Column) -> Column:
     safe = F.when(y != 0, y)
     return F.call_function("div", x, safe)

@@ -6,7 +6,8 @@ compiled once and a row picks its own by comparison, so the condition stays insi
 
 The candidates are one conditional join.  With `using`, requests that agree in the significant attributes share one
 evaluation of it.  Assignment is greedy in the requests' order, and by nature sequential; it streams the candidates
-in that order, remembering only the resources taken.
+in that order, remembering only the resources taken.  With a limit, only the first requests are joined, and of each
+only as many of its best resources as there are requests, since no more can be taken.
 """
 
 from __future__ import annotations
@@ -77,13 +78,16 @@ def top_candidates(pairs: DataFrame, n: int) -> DataFrame:
 def assign(spark: SparkSession, requests: DataFrame, pairs: DataFrame, limit: int, request_key: str = "Key", order: str | None = None) -> DataFrame:
     """One row for each of the first `limit` requests (0: all): request, resource (null if none is left), rank.
 
-    Only the first `limit` requests' candidates are sorted and streamed; the taken resources are at most `limit`.
+    Only the first `limit` requests' candidates are sorted and streamed, at most `limit` of each; with limit 0 one task
+    streams all candidates.
     """
-    ranked = requests.select(F.col(request_key).alias("request"), F.col(order or request_key).alias("_at")).orderBy("_at", "request")
-    ranked = ranked.limit(limit) if limit else ranked
+    ranked = requests.select(F.col(request_key).alias("request"), F.col(order or request_key).alias("_at"))
+    if limit:
+        ranked = ranked.orderBy("_at", "request").limit(limit)
+        pairs = top_candidates(pairs.join(ranked.select("request"), "request", "left_semi"), limit).drop("place")
     stream = ranked.join(pairs, "request", "left").select("_at", "request", "resource", "rank")
     kind = dict(stream.dtypes)
-    stream = stream.coalesce(1).sortWithinPartitions("_at", "request", F.desc_nulls_last("rank"), "resource").select("request", "resource", "rank")
+    stream = stream.repartition(1).sortWithinPartitions("_at", "request", F.desc_nulls_last("rank"), "resource").select("request", "resource", "rank")
 
     def greedy(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -118,6 +122,8 @@ def run_match(spark: SparkSession, st: N.Match, requests: DataFrame, resources:
         resources = resources.filter(Compiler(two_sided(mine, mine)).condition(st.target))
     if st.no_preempt and (state := _name(resources, "State")):
         resources = resources.filter(~F.col(state).eqNullSafe("Claimed"))
-    pairs = candidates(requests, resources, using=st.using)
     order = "_seq" if "_seq" in requests.columns else "Key"
+    if st.limit:
+        requests = requests.orderBy(order, "Key").limit(st.limit)
+    pairs = candidates(requests, resources, using=st.using)
     return assign(spark, requests, pairs, st.limit, order=order).toDF("Request", "Resource", "Rank")

@@ -28,7 +28,8 @@ def names(items: list[N.Item]) -> list[str]:
 def star_order(df: DataFrame, key: str = "Key") -> DataFrame:
     """The key first, then the other columns by name; columns that start with an underscore are left out."""
     cols = sorted((c for c in df.columns if not c.startswith("_")), key=lambda c: (c.lower() != key.lower(), c))
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+    look = resolver(df)
+    return df.select(*[look(N.Ref(c)).column.alias(c) for c in cols])
 
 
 def aggregate_column(node: N.Aggregate, df: DataFrame, fold_case: bool = False) -> Value:

@@ -7,21 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.macros import expand
 from .operators import changes, match, timeline
 from .operators.select import run_select
 from .plans.parser import parse
 from .sources.documents import flatten_json
 from .sources.exposition import exposition
+from .sources.workspace import workspace
+from .streaming.continuous import ContinuousAggregate
 
 MONEY = "decimal(18,2)"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def _read(spark: SparkSession, sf_dir: str, table: str, exact: tuple[str, ...] = ("s_acctbal", "p_retailprice"), seconds: bool = True) -> DataFrame:
+    """A table with money that is summed or matched as decimals and, with `seconds`, times as seconds since the epoch."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    for name, kind in df.dtypes:  # money is exact; times are seconds since the epoch
-        if name in ("o_totalprice", "l_extendedprice", "l_discount", "c_acctbal", "s_acctbal", "p_retailprice"):
+    for name, kind in df.dtypes if seconds or exact else ():
+        if name in exact:
             df = df.withColumn(name, F.col(name).cast(MONEY))
+        elif not seconds:
+            continue
         elif kind in ("timestamp", "timestamp_ntz"):
             df = df.withColumn(name, F.unix_timestamp(F.col(name).cast("timestamp")))
     return df
@@ -92,23 +98,56 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events QUALIFY r <= 3",
         "",
     ),
-    "mv_gauge": ("SELECT o_orderstatus AS label_status, COUNT(*) AS metric_orders, SUM(o_totalprice) AS metric_value FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus AS label_status, count(*) AS metric_orders, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS metric_value FROM orders GROUP BY 1"),
 }
 
 
 def _statement(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        st = parse(expand(STATEMENTS[name][0], 1704240000, 1704672000))
-        out = run_select(_read(spark, sf_dir, st.table), st)
+        text = expand(STATEMENTS[name][0], 1704240000, 1704672000)
+        st = parse(text)
+        exact = tuple(c for c in ("o_totalprice", "l_extendedprice") if f"SUM({c})" in text)
+        out = run_select(_read(spark, sf_dir, st.table, exact, seconds=False), st)  # filters reach the scan
         return out.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes])
 
     return run
 
 
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, workspace(spark))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, as rows of a keyed table."""
+    return _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("Key"), "event_id", "ts", "user_id", "event_type")
+
+
+def engine_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, updated in and deleted from by statements, and read."""
+    engine = _engine(spark)
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("Key"), "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    engine.write_rows("orders", orders)
+    engine.sql("UPDATE orders SET o_orderpriority = 'none', o_custkey = 0 - o_custkey WHERE o_orderstatus = 'P'")
+    engine.sql("BEGIN")
+    engine.sql("DELETE FROM orders WHERE o_totalprice > 250000")
+    engine.sql("INSERT INTO orders (Key, o_custkey, o_orderstatus) VALUES ('new', ?, 'N')", [-1])
+    engine.sql("COMMIT")
+    return engine.sql("SELECT Key, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice IS NULL OR o_totalprice > 1000")
+
+
 def as_of_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user up to a time: a change log's state at that time."""
-    log = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return timeline.latest(log, "user_id", ["ts", "event_id"], F.col("ts") <= 1704844800)
+    """Users' last events are written twice, a while apart; AS OF a time between reads the first state."""
+    engine, events = _engine(spark), _read(spark, sf_dir, "events", seconds=False)
+    seen = events.filter(F.col("ts") < F.timestamp_seconds(F.lit(1704844801)).cast(dict(events.dtypes)["ts"]))
+    for at, log in ((1704844800, seen), (1704931200, events)):
+        engine.clock = lambda at=at: at
+        last = timeline.latest(log.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "event_type"), "user_id", ["ts", "event_id"])
+        engine.write_rows("users", last.withColumn("Key", F.col("user_id").cast("string")))
+    engine.clock = lambda: 1704931300
+    return engine.sql("SELECT user_id, ts, event_id, event_type FROM users AS OF '-1h'")
 
 
 def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +161,32 @@ def scd2_gauge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.gauge_series(timeline.versions(log, "user_id", ["ts", "event_id"], "ts"), "ts", "superseded_at", 86400, ["event_type"])
 
 
+def mv_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A materialised view of orders by status."""
+    engine = _engine(spark)
+    engine.register("orders", _read(spark, sf_dir, "orders", ("o_totalprice",)))
+    engine.sql("CREATE MATERIALIZED VIEW totals AS SELECT o_orderstatus AS label_status, COUNT(*) AS metric_orders, SUM(o_totalprice) AS metric_value FROM orders GROUP BY o_orderstatus")
+    return _doubles(engine.sql("SELECT * FROM totals"))
+
+
 def continuous_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A continuous aggregate over all events as a finished input: a batch grouping of all buckets, in which no row is late."""
-    from .streaming.continuous import ContinuousAggregate
+    """A continuous aggregate: most buckets are sealed, the last are open, and the oldest have gone."""
+    engine = _engine(spark)
+    engine.write_rows("events", _events(spark, sf_dir))
+    engine.sql("CREATE MATERIALIZED VIEW hourly MAXSERIES 1000000000 AS SELECT time_bucket(ts, '1h') AS bucket, event_type, COUNT(*) AS n FROM events GROUP BY bucket, event_type WITH (grace = '10m', retention = '14d')")
+    return engine.sql("SELECT bucket, event_type, n FROM hourly")
+
 
-    return ContinuousAggregate("ts", 3600, ["event_type"], 600).rows(_read(spark, sf_dir, "events"))
+def watermark_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed hours of a stream whose views come in a second run: those for hours sealed before are dropped."""
+    root, events = workspace(spark), _events(spark, sf_dir)
+    hours = ContinuousAggregate("ts", 3600, ["event_type"], 600)
+    for k, batch in enumerate((F.col("event_type") != "view", F.col("event_type") == "view")):
+        events.filter(batch).write.parquet(f"{root}/in/batch={k}")
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        query = hours.start(stream, f"{root}/out", f"{root}/checkpoint")
+        query.awaitTermination()
+    return spark.read.schema("bucket long, event_type string, n long").parquet(f"{root}/out")
 
 
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +225,18 @@ def flatten_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prom_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposition(_statement("mv_gauge")(spark, sf_dir), "orders")
+    return exposition(mv_gauge(spark, sf_dir), "orders")
 
 
 def watch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change stream from the beginning: filtered upserts, and all deletes."""
-    from .streaming.watch import visible
-
-    log = _read(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), F.when(F.col("event_type") == "logout", "delete").otherwise("upsert").alias("_op"), "user_id", "event_type")
-    return visible(log, F.col("user_id") % 2 == 0).select("_seq", "_op", "user_id")
+    """WATCH from the beginning of a table from which rows were deleted."""
+    engine = _engine(spark)
+    engine.write_rows("events", _events(spark, sf_dir))
+    engine.sql("DELETE FROM events WHERE event_type = 'view'")
+    return engine.sql("WATCH user_id, event_type, user_id * 2 AS twice FROM events WHERE user_id > 20 SINCE BEGINNING").drop("_seq")
 
 
-OPERATORS = (as_of_latest, scd2_versions, scd2_gauge_series, continuous_agg, match_candidates, match_greedy, cdc_delete_sweep, dedupe_history, incremental_import, flatten_doc, prom_export, watch_replay)
+OPERATORS = (engine_write_read, as_of_latest, scd2_versions, scd2_gauge_series, mv_gauge, continuous_agg, watermark_late_drop, match_candidates, match_greedy, cdc_delete_sweep, dedupe_history, incremental_import, flatten_doc, prom_export, watch_replay)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement(name) for name in STATEMENTS} | {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {name: sql or text for name, (text, sql) in STATEMENTS.items()} | {
@@ -188,7 +248,18 @@ steps AS (
   SELECT event_type, (ceil(t / 86400) * 86400)::BIGINT AS bucket, 1 AS d FROM v
   UNION ALL SELECT event_type, (ceil(e / 86400) * 86400)::BIGINT, -1 FROM v WHERE e IS NOT NULL)
 SELECT event_type, bucket, (sum(sum(d)) OVER (PARTITION BY event_type ORDER BY bucket))::BIGINT AS active FROM steps GROUP BY event_type, bucket""",
-    "continuous_agg": "SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "engine_write_read": """
+SELECT o_orderkey::VARCHAR AS Key, CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_totalprice <= 250000 AND o_totalprice > 1000 UNION ALL SELECT 'new', -1, 'N', NULL""",
+    "mv_gauge": "SELECT o_orderstatus AS label_status, count(*) AS metric_orders, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS metric_value FROM orders GROUP BY 1",
+    "continuous_agg": """
+WITH b AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+SELECT bucket, event_type, n FROM b WHERE bucket + 3600 > (SELECT max(bucket) FROM b) - 14 * 86400""",
+    "watermark_late_drop": """
+WITH e AS (SELECT floor(epoch(ts))::BIGINT AS t, event_type FROM events WHERE ts IS NOT NULL),
+w AS (SELECT max(CASE WHEN event_type <> 'view' THEN t END) - 600 AS first_mark, max(t) - 600 AS last_mark FROM e)
+SELECT t // 3600 * 3600 AS bucket, event_type, count(*) AS n FROM e, w
+WHERE (event_type <> 'view' OR t // 3600 * 3600 + 3600 > first_mark) AND t // 3600 * 3600 + 3600 <= last_mark GROUP BY 1, 2""",
     "match_candidates": """
 SELECT p_partkey AS request, s_suppkey AS resource, row_number() OVER (PARTITION BY p_partkey ORDER BY s_acctbal::DECIMAL(18,2) DESC, s_suppkey) AS place
 FROM part JOIN supplier ON s_acctbal::DECIMAL(18,2) >= p_retailprice::DECIMAL(18,2) AND p_size <= s_nationkey QUALIFY place <= 2""",
@@ -196,5 +267,5 @@ FROM part JOIN supplier ON s_acctbal::DECIMAL(18,2) >= p_retailprice::DECIMAL(18
     "dedupe_history": "SELECT user_id, event_type, event_id, floor(epoch(ts))::BIGINT AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
     "incremental_import": "SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events WHERE floor(epoch(ts)) > 1704844800 OR (floor(epoch(ts)) = 1704844800 AND event_id % 2 <> 0)",
     "flatten_doc": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
-    "watch_replay": "SELECT event_id AS _seq, CASE WHEN event_type = 'logout' THEN 'delete' ELSE 'upsert' END AS _op, user_id FROM events WHERE event_type = 'logout' OR user_id % 2 = 0",
+    "watch_replay": "SELECT 'upsert' AS _op, event_id::VARCHAR AS _key, user_id, event_type, user_id * 2 AS twice FROM events WHERE event_type <> 'view' AND user_id > 20",
 }
