@@ -233,3 +233,14 @@ def test_missing_and_repeated_ids(spark):
         packing.pack_documents(docs, BPE), kdshard.shard(docs.withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("en"))),
     ):
         assert sorted((r["doc_id"] for r in found.collect()), key=str) == want
+
+
+def test_keep_clean_leaves_rows_as_they_are(spark):
+    """Every column and repeated row of what stays, and of rows that share an id only the rejected text goes."""
+    texts = [f"vile filth number{k} spew" if k % 3 == 0 else f"kind words number{k} garden" for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    rows = [(k, t, [k], "a") for k, t in enumerate(texts)] + [(0, "kind words of a garden", [], None), (None, None, None, "b"), (7, "vile filth spew", [1], "c"), (7, texts[7], [7], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p0 array<int>, rejected string")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if "vile" not in (r["text"] or ""))

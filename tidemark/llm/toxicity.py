@@ -223,10 +223,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, tup
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose text is not rejected; rows that share an id are told apart by their texts."""
+    """The rows of `docs` whose text is not rejected, as they are: each is predicted and kept or not where it is read,
+    so nothing is shuffled and rows that share an id are told apart."""
     chain = fit_chain(docs, labels, CATEGORIES, id_col=id_col, text_col=text_col, **options)
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("id"), text.alias("text"))
-    kinds = "".join(f", p{k} double" for k in range(len(CATEGORIES)))
-    gone = rows.mapInArrow(_predict(chain), f"id binary{kinds}, rejected boolean").filter("rejected").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.unhex(F.sha2(text, 256)) == gone["_gone"], "left_anti")
+    rows, text = docs, text_col
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        text = "_text" + "_" * max(map(len, docs.columns))  # no column's name
+        rows = docs.withColumn(text, F.col(f"`{text_col}`").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.chunks(batches, text):
+            column = batch.column(batch.schema.get_field_index(text))
+            there = np.diff(K.buffers(column)[1]) > 0
+            yield batch.filter(pa.array(~(there & (chain.predict(column)[:, -1] >= chain.threshold))))
+
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept if text == text_col else kept.drop(text)
