@@ -1,6 +1,7 @@
 """Extreme values, repeated and missing ids, and bounds of what moves."""
 
 import math
+import os
 import random
 from fractions import Fraction
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, itq, kdshard, minhash, packing, pst, spm, tokenfile, toxicity, warc
+from tidemark.llm import exact, itq, kdshard, minhash, packing, pst, spm, tokenfile, tokens, toxicity, warc
 from tidemark.llm.scratch import Scratch
 
 from .test_operators import BPE, PIECES, components, words
@@ -244,3 +245,32 @@ def test_keep_clean_leaves_rows_as_they_are(spark):
     kept = toxicity.keep_clean(docs, labels)
     assert kept.schema == docs.schema
     assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if "vile" not in (r["text"] or ""))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_evolution_beats_best_fit_on_real_lengths():
+    """On token counts of the driver's documents, evolved packings take fewer sequences than their best-fit seed."""
+    from pyarrow import parquet
+
+    column = parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).cast(pa.string())
+    lengths = []
+    for chunk in column.chunks:
+        lengths += [x for n in np.diff(tokens.encoder(BPE).encode(chunk)[1]).tolist() for x in packing.cut(n, 1024) if x < 1024]
+    random.Random(1).shuffle(lengths)
+    saved = []
+    for k in range(3):
+        ga = packing.GroupingGA(lengths[k::3], 1024, 5)
+        best = ga.evolve([])
+        assert all(sum(ga.lengths[i] for i in x) + s == 1024 for x, s in zip(*best, strict=True))
+        assert ga.bound <= len(best[0])
+        saved.append(len(ga.seeds()[0][0]) - len(best[0]))
+    assert min(saved) >= 0 and sum(saved) > 0
+
+
+def test_fullest():
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.randint(1, 30) for _ in range(8)]
+        got = packing.fullest(lengths, list(range(8)), 60)
+        sums = {sum(lengths[i] for i in range(8) if m >> i & 1) for m in range(256)}
+        assert len(set(got)) == len(got) and sum(lengths[i] for i in got) == max(s for s in sums if s <= 60)

@@ -6,7 +6,8 @@ ids, of which the first may be shorter; nothing else is cut.  Pieces that fill a
 The rest is dealt by a hash into groups of about `group_size` pieces.  For every group several islands evolve
 packings.  A chromosome is a list of bins, not of pieces: crossover injects whole well-filled bins of one parent
 into the other, drops the bins that share a piece with them, and places the displaced pieces by best fit, longest
-first.  Mutation opens the emptiest bins.  Between epochs the best packing of each island migrates to the next.  An
+first.  Mutation opens the emptiest bins and a few others and fills bins anew with the piece that is longest and the
+others whose sum comes nearest to the space left.  Between epochs the best packing of each island migrates to the next.  An
 island stops at the lower bound ``ceil(tokens / capacity)``.  Then the emptiest bins of up to 32 groups are opened
 and packed anew together, until one group is left, so that groups waste no more than a few bins in all.
 
@@ -67,6 +68,23 @@ def best_fit(lengths: list[int], order: list[int], bins: list[list[int]], space:
         mask |= 1 << s
 
 
+def fullest(lengths: list[int], items: list[int], space: int) -> list[int]:
+    """Of the items those with the largest sum of lengths that is at most `space`."""
+    reach, steps = 1, [1]
+    mask = (1 << space + 1) - 1
+    for i in items:
+        reach |= reach << lengths[i] & mask
+        steps.append(reach)
+        if reach >> space:
+            break
+    total, out = reach.bit_length() - 1, []
+    for k in range(len(steps) - 1, 0, -1):
+        if not steps[k - 1] >> total & 1:
+            out.append(items[k - 1])
+            total -= lengths[items[k - 1]]
+    return out
+
+
 class GroupingGA:
     """Packs one group.  A packing is (bins, free space of each)."""
 
@@ -115,15 +133,20 @@ class GroupingGA:
         return bins, space
 
     def mutate(self, a):
-        """Open the emptiest bins and a few others."""
+        """Open the emptiest bins and a few others, and fill bins from their pieces, each as full as it can be."""
         order = sorted(range(len(a[0])), key=lambda k: -a[1][k])
         open_ = set(order[:3]) | {self.random.randrange(len(order)) for _ in range(max(2, len(order) // 50))}
         bins = [x[:] for k, x in enumerate(a[0]) if k not in open_]
         space = [s for k, s in enumerate(a[1]) if k not in open_]
         loose = [i for k in open_ for i in a[0][k]]
-        self.random.shuffle(loose)
         loose.sort(key=lambda i: -self.lengths[i] + self.random.uniform(0, 0.03 * self.capacity))
-        best_fit(self.lengths, loose, bins, space, self.capacity)
+        while loose:
+            first = loose.pop(0)
+            others = fullest(self.lengths, loose, self.capacity - self.lengths[first])
+            gone = set(others)
+            loose = [i for i in loose if i not in gone]
+            bins.append([first, *others])
+            space.append(self.capacity - self.lengths[first] - sum(self.lengths[i] for i in others))
         return bins, space
 
     def evolve(self, migrants: list):
@@ -136,7 +159,7 @@ class GroupingGA:
             for _ in range(self.size):
                 a, b = (min(self.random.sample(range(len(people)), min(2, len(people)))) for _ in range(2))
                 child = self.cross(people[a], people[b])
-                children.append(self.mutate(child) if self.random.random() < 0.7 else child)
+                children.append(self.mutate(child) if self.random.random() < 0.8 else child)
             people = sorted(people + children, key=self.fitness, reverse=True)[: self.size]
         return people[0]
 
