@@ -55,6 +55,8 @@ class Vocabulary:
         self.model_type = model_type or model.trainer_spec.model_type
         if self.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and merge models")
+        if any(p.type in (USER_DEFINED, UNUSED) for p in model.pieces):
+            raise ValueError("only models without user-defined and unused pieces")
         spec = model.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only models with identity normalisation that keep all spaces")
