@@ -24,7 +24,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes of text that a kernel handles at once.  A longer single text is handled alone.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
