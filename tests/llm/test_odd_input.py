@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -274,3 +275,19 @@ def test_fullest():
         got = packing.fullest(lengths, list(range(8)), 60)
         sums = {sum(lengths[i] for i in range(8) if m >> i & 1) for m in range(256)}
         assert len(set(got)) == len(got) and sum(lengths[i] for i in got) == max(s for s in sums if s <= 60)
+
+
+def test_saving_leaves_no_shuffle_files(spark):
+    def shuffles():
+        return set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    saved_ = Scratch(spark, "brief").save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(100):
+        if not {x for x in shuffles() - before if "shuffle" in x}:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError("shuffle files stay")
+    assert saved_.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(_BATCH, str(size))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of what runs inside as soon as it has ended."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """A folder of intermediates for one operator call; dropped explicitly or when the driver exits."""
 
@@ -58,9 +74,14 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and return it as read back.  The path is kept as ``scratch_path`` for :meth:`drop`."""
+        """Write `df` and return it as read back.  The path is kept as ``scratch_path`` for :meth:`drop`.
+
+        Nothing reads the write's shuffles after it, so they don't stay on the executors' disks until the driver
+        happens to collect its garbage.
+        """
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        with _brief_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
