@@ -203,6 +203,22 @@ def test_snapshot_and_follower(engine, spark, tmp_path):
     assert other.sql("SELECT COUNT(*) AS n FROM copy").first()[0] == 0
 
 
+def test_match_many_texts(spark, monkeypatch):
+    """More distinct texts than one join compiles, on either side, and rows without a text."""
+    from tidemark.operators import match
+
+    monkeypatch.setattr(match, "MOST_TEXTS", 12)
+    requests = [(f"q{k}", k % 7, f"TARGET.size >= {k}" if k % 6 else None, f"TARGET.size * {k % 3}") for k in range(30)]
+    resources = [(f"r{k}", k, f"TARGET.need <= {k % 17}") for k in range(24)]
+    a = spark.createDataFrame(requests, "Key string, need long, Requirements string, Rank string")
+    b = spark.createDataFrame(resources, "Key string, size long, Requirements string")
+    want = {(f"q{q}", f"r{r}", float(r * (q % 3))) for q in range(30) for r in range(24) if (q % 6 == 0 or r >= q) and q % 7 <= r % 17}
+    assert len(match._parts(a, ("Requirements", "Rank"))) > 1 and len(match._parts(b, ("Requirements",))) > 1
+    got = [tuple(r) for r in match.candidates(a, b).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {tuple(r) for r in match.candidates(a, b, using=("need",)).collect()} == want
+
+
 def test_match_greedy_all_parts(spark, tmp_path):
     from tidemark.queries import QUERIES
 

@@ -2,7 +2,8 @@
 
 Both sides' Requirements must hold, each with the other as TARGET; a request orders the resources by its Rank.
 Requirements and Rank may be columns of expression text.  The distinct texts of a side are few in practice; each is
-compiled once and a row picks its own by comparison, so the condition stays inside the engine.
+compiled once and a row picks its own by comparison, so the condition stays inside the engine.  A side with more than
+`MOST_TEXTS` of them is split by its texts' hash, and the parts' candidates are united: one join a part.
 
 The candidates are one conditional join.  With `using`, requests that agree in the significant attributes share one
 evaluation of it.  Assignment is greedy in the requests' order, and by nature sequential; it streams the candidates
@@ -13,16 +14,16 @@ only as many of its best resources as there are requests, since no more can be t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, resolver, two_sided
 from ..plans import nodes as N
-from ..plans.lexer import QueryError
 from ..plans.parser import parse_expression
 
-#: Distinct texts of an expression column that are compiled.
+#: Distinct texts of an expression column that one join compiles.
 MOST_TEXTS = 1000
 
 
@@ -38,9 +39,7 @@ def _expression(df: DataFrame, side: str, other: DataFrame, other_side: str, col
     at = F.col(f"{side}.`{name}`")
     if dict(df.dtypes)[name] != "string":
         return at
-    texts = [r[0] for r in df.select(name).distinct().limit(MOST_TEXTS + 1).collect()]
-    if len(texts) > MOST_TEXTS:
-        raise QueryError(f"{column} has more than {MOST_TEXTS} distinct texts")
+    texts = [r[0] for r in df.select(name).distinct().collect()]  # at most MOST_TEXTS, by `_parts`
     compiler = Compiler(two_sided(resolver(df, f"{side}."), resolver(other, f"{other_side}.")))
     out = F.lit(default if condition else None)
     for text in texts:
@@ -52,6 +51,21 @@ def _expression(df: DataFrame, side: str, other: DataFrame, other_side: str, col
     return out
 
 
+def _parts(df: DataFrame, columns: tuple[str, ...]) -> list[DataFrame]:
+    """The rows in parts of at most `MOST_TEXTS` distinct texts a column; whole if no column has too many."""
+    names = [n for c in columns if (n := _name(df, c)) and dict(df.dtypes)[n] == "string"]
+    parts = [df]
+    for name in names:
+        texts = df.select(F.xxhash64(name).alias("h"), name).distinct()
+        distinct = texts.count()
+        n = -(-2 * distinct // MOST_TEXTS) if distinct > MOST_TEXTS else 1
+        while n > 1 and texts.groupBy(F.pmod("h", F.lit(n))).count().agg(F.max("count")).first()[0] > MOST_TEXTS:
+            n *= 2
+        if n > 1:
+            parts = [p.filter(F.pmod(F.xxhash64(name), F.lit(n)) == k) for p in parts for k in range(n)]
+    return parts
+
+
 def candidates(requests: DataFrame, resources: DataFrame, request_key: str = "Key", resource_key: str = "Key", using: tuple[str, ...] = ()) -> DataFrame:
     """Pairs that match: request, resource, rank (of the pair, larger is better)."""
     if using:
@@ -61,6 +75,11 @@ def candidates(requests: DataFrame, resources: DataFrame, request_key: str = "Ke
         pairs = candidates(shapes, resources, "_shape", resource_key)
         own = requests.select(F.col(request_key).alias("_request"), F.xxhash64(*[F.col(c) for c in carried], *[F.col(c).isNull() for c in carried]).alias("request"))
         return pairs.join(own, "request").select(F.col("_request").alias("request"), "resource", "rank")
+    parts = [(a, b) for a in _parts(requests, ("Requirements", "Rank")) for b in _parts(resources, ("Requirements",))]
+    return reduce(DataFrame.unionAll, [_joined(a, b, request_key, resource_key) for a, b in parts])
+
+
+def _joined(requests: DataFrame, resources: DataFrame, request_key: str, resource_key: str) -> DataFrame:
     a, b = requests.alias("q"), resources.alias("r")
     mine = _expression(requests, "q", resources, "r", "Requirements", True, True)
     theirs = _expression(resources, "r", requests, "q", "Requirements", True, True)

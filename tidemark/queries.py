@@ -215,9 +215,10 @@ def dedupe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second import takes: later than the mark, and those at the mark that the first did not have."""
-    events = _read(spark, sf_dir, "events").select("event_id", "ts")
+    events = _read(spark, sf_dir, "events")
     mark = 1704844800
-    return changes.beyond_mark(events, mark, "ts", events.filter((F.col("ts") == mark) & (F.col("event_id") % 2 == 0)), "event_id")
+    had = events.filter((F.col("ts") == mark) & (F.col("event_type") == "view")).select("event_id")
+    return changes.beyond_mark(events.select("event_id", "ts"), mark, "ts", had, "event_id")
 
 
 def flatten_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +266,7 @@ SELECT p_partkey AS request, s_suppkey AS resource, row_number() OVER (PARTITION
 FROM part JOIN supplier ON s_acctbal::DECIMAL(18,2) >= p_retailprice::DECIMAL(18,2) AND p_size <= s_nationkey QUALIFY place <= 2""",
     "cdc_delete_sweep": "SELECT DISTINCT o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'P' AND x.o_totalprice::DECIMAL(18,2) > 150000)",
     "dedupe_history": "SELECT user_id, event_type, event_id, floor(epoch(ts))::BIGINT AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
-    "incremental_import": "SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events WHERE floor(epoch(ts)) > 1704844800 OR (floor(epoch(ts)) = 1704844800 AND event_id % 2 <> 0)",
+    "incremental_import": "SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events WHERE floor(epoch(ts)) > 1704844800 OR (floor(epoch(ts)) = 1704844800 AND event_type IS DISTINCT FROM 'view')",
     "flatten_doc": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "watch_replay": "SELECT 'upsert' AS _op, event_id::VARCHAR AS _key, user_id, event_type, user_id * 2 AS twice FROM events WHERE event_type <> 'view' AND user_id > 20",
 }
