@@ -14,7 +14,9 @@ that list, in a file of its own.  Words and the tree are partitioned by hash, an
 messages.  In the first round a block sends its distinct words and hears their counts and numbers.  Then the tree grows in one round
 a level: every block sends its distinct contexts of that length, and pairs of context and next symbol with the pair's
 probability in the context's suffix, to the contexts' partitions; these test the contexts and reply with what changes.
-Pairs and contexts whose shorter ones are too rare already aren't sent.  A block keeps what it heard in a file a round.
+Pairs and contexts whose shorter ones are too rare already aren't sent.  A pair that occurs often is a context of the
+next round; its partition numbers it, so contexts are known by dense numbers, which take few bytes when sorted.  A block
+keeps what it heard in a file a round.
 Probabilities are exchanged in single precision, to which a state's distribution sums to one.  So what is gathered grows with the corpus
 and no table of words or contexts is ever collected, broadcast or held in one task.
 
@@ -49,8 +51,9 @@ PRIOR = 20.0
 PART_TOKENS = 2 << 20
 END_HASH = int(K.span_hashes(np.array([10], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])  # no word is a line feed
 #: In a reply: whether contexts are states, the states' factors for the suffix and training tokens, marks of pairs
-#: (1: occurs often, 2: listed), the listed ones' counts.
-_REPLY = (np.bool_, np.float32, np.int64, np.uint8, np.int64)
+#: (1: occurs often, 2: listed), the listed ones' counts; before another level, ranks of the pairs that occur often, and
+#: the partition that ranked them.
+_REPLY = (np.bool_, np.float32, np.int64, np.uint8, np.int64, np.int64, np.int64)
 _BLOCK_KIND = "block long, path string, texts long, tokens long"
 _SENT_KIND = "block long, target long, data binary"
 _REPLY_KIND = "round int, block long, target long, data binary, fresh long"
@@ -272,21 +275,49 @@ def _steps(sorted_: np.ndarray) -> np.ndarray:
     return np.diff(sorted_, prepend=sorted_.dtype.type(0))
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of a context with one more symbol before it."""
-    x = a * U64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> U64(32))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+def _numbered(partition: int, rank: np.ndarray, partitions: int) -> np.ndarray:
+    """Distinct numbers for what partitions ranked each by themselves; 0 is left for the end."""
+    return rank * partitions + partition + 1
 
 
-def _targets(sorted_hashes: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
-    """The partitions of hashes, in their order: number, first hash, end."""
-    to = ((sorted_hashes >> U64(32)) * U64(partitions) >> U64(32)).astype(np.int64)
+#: Bits of a context's key below its partition.
+_PLACE = 40
+
+
+def _dealt(numbers: np.ndarray, partitions: int) -> np.ndarray:
+    """Keys of contexts with these numbers: a partition, and a place that is distinct in it.  Neighbours in rank and
+    contexts of one partition's last round are dealt to all partitions."""
+    place, rest = np.divmod(numbers, partitions)
+    return (place + rest) % partitions << _PLACE | place
+
+
+def _runs(to: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of equal numbers: number, first place, end."""
     starts = np.flatnonzero(np.diff(to, prepend=-1))
     return list(zip(to[starts].tolist(), starts.tolist(), np.append(starts, len(to))[1:].tolist(), strict=True))
 
 
+def _targets(sorted_hashes: np.ndarray, partitions: int) -> list[tuple[int, int, int]]:
+    """The partitions of hashes, in their order: number, first hash, end."""
+    return _runs(((sorted_hashes >> U64(32)) * U64(partitions) >> U64(32)).astype(np.int64))
+
+
+def _rises(x: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Numbers that rise within each group of `each` numbers, as a group's first and differences."""
+    out = np.diff(x, prepend=x.dtype.type(0))
+    starts = (np.cumsum(each) - each)[each > 0]
+    out[starts] = x[starts]
+    return out
+
+
+def _risen(steps: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The numbers again."""
+    sums = np.cumsum(steps)
+    some = each[each > 0]
+    starts = np.cumsum(some) - some
+    return sums - np.repeat(sums[starts] - steps[starts], some)
+
+
 class _Block:
     """A block, and the probabilities of its symbols in the tree as far as it has grown."""
 
@@ -315,7 +346,11 @@ class _Block:
         if replies:
             got = [_unpack(x, *[np.int64] * 3) for x in replies]
             counts[self.order] = np.concatenate([x for x, _, _ in got])
-            self.global_[self.order] = np.concatenate([rank * of[1] + of[0] + 1 for _, rank, of in got])
+            self.global_[self.order] = np.concatenate([_numbered(of[0], rank, of[1]) for _, rank, of in got])
+        order = np.argsort(self.global_)  # from here the block's own numbers rise with those of all blocks
+        own = np.empty(len(order), np.int64)
+        own[order] = np.arange(len(order))
+        self.number, self.hashes, self.global_, counts = own[self.number], self.hashes[order], self.global_[order], counts[order]
         self.counts = counts
         self.known = (counts > 0)[self.number]
         self.root = (counts + 1) / (total + distinct + 1)
@@ -324,18 +359,16 @@ class _Block:
         if cut is not None:
             often[1:] &= (counts[1:] > cut[0]) | (counts[1:] == cut[0]) & (self.hashes[1:].view(np.int64) <= cut[1])
         self.often = often[self.number]  # the symbol after the context of the last round, in all training texts
-        self.context = np.zeros(len(self.number), U64)
+        self.called = self.global_[self.number]  # the number of that context with the symbol, where it occurs often
         self.level = 0
 
-    def deeper(self) -> None:
-        """Go on to contexts with one more symbol."""
+    def deeper(self, partitions: int) -> None:
+        """Go on to contexts with one more symbol: those of the last round, each with the symbol after it."""
         self.level += 1
-        k = self.level
-        self.context[k:] = _mix(self.context[k:], self.hashes[self.number[:-k]])
-        live = self.place >= k
+        live = self.place >= self.level
         live[1:] &= self.often[:-1]  # how often the context itself occurs
         self.where = np.flatnonzero(live)
-        self.contexts, self.of = np.unique(self.context[self.where], return_inverse=True)
+        self.contexts, self.of = np.unique(_dealt(self.called[self.where - 1], partitions), return_inverse=True)
         pairs = self.often[self.where]
         self.pair_where = self.where[pairs]
         self.pairs, self.pair_of = np.unique(self.of[pairs] * len(self.hashes) + self.number[self.pair_where], return_inverse=True)
@@ -346,7 +379,7 @@ class _Block:
         below[self.pair_of] = self.p[self.pair_where]
         return below
 
-    def messages(self, partitions: int) -> Iterator[tuple[int, bytes]]:
+    def messages(self) -> Iterator[tuple[int, bytes]]:
         """For each of the tree's partitions: contexts, their training tokens and numbers of pairs; the distinct next
         symbols; the pairs' symbols as places among these, counts, and probabilities in the context's suffix; at the
         first level, where the suffix is the root, counts of the distinct symbols instead."""
@@ -357,22 +390,26 @@ class _Block:
         context, symbol = self.pairs // len(self.hashes), self.pairs % len(self.hashes)
         each = np.bincount(context, minlength=n)
         firsts = np.concatenate(([0], np.cumsum(each)))
-        for to, a, b in _targets(self.contexts, partitions):
+        for to, a, b in _runs(self.contexts >> _PLACE):
             x, y = firsts[a], firsts[b]
             listed, of = np.unique(self.global_[symbol[x:y]], return_inverse=True)
             known = np.empty(0, np.int64)
             if self.level == 1:
                 known = np.empty(len(listed), np.int64)
                 known[of] = self.counts[symbol[x:y]]
-            yield to, _pack(_steps(self.contexts[a:b]), totals[a:b], each[a:b], _steps(listed), of, counts[x:y], known, below[x:y] if self.level > 1 else below[:0])
+            places = self.contexts[a:b] & ((1 << _PLACE) - 1)
+            yield to, _pack(_steps(places), totals[a:b], each[a:b], _steps(listed), _rises(of, each[a:b]), counts[x:y], known, below[x:y] if self.level > 1 else below[:0])
 
-    def hear(self, replies: list[bytes]) -> None:
+    def hear(self, replies: list[bytes], partitions: int) -> None:
         """Replies in the order of the partitions."""
         self.often = np.zeros(len(self.number), bool)
         if not replies:
             return
         got = [_unpack(x, *_REPLY) for x in replies]
-        state, back, total, marks, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        state, back, total, marks, count = (np.concatenate(x) for x in zip(*[x[:5] for x in got], strict=True))
+        often, named = marks & 1 > 0, np.zeros(len(marks), np.int64)
+        if len(got[0][6]):
+            named[often] = np.concatenate([_numbered(int(x[6][0]), np.cumsum(x[5]), partitions) for x in got])
         below = self._below()
         of_context, totals = np.ones(len(self.contexts)), np.zeros(len(self.contexts), np.int64)
         of_context[state], totals[state] = back, total
@@ -380,7 +417,8 @@ class _Block:
         p = np.zeros(len(marks))
         p[own] = _smoothed(count, below[own], totals[self.pairs[own] // len(self.hashes)])
         self.p[self.where] *= of_context[self.of]
-        self.often[self.pair_where] = (marks & 1 > 0)[self.pair_of]
+        self.often[self.pair_where] = often[self.pair_of]
+        self.called[self.pair_where] = named[self.pair_of]
         own = own[self.pair_of]
         self.p[self.pair_where[own]] = p[self.pair_of[own]]
 
@@ -415,13 +453,14 @@ def _smoothed(count: np.ndarray, below: np.ndarray, total: np.ndarray) -> np.nda
     return (count + PRIOR * below.astype(np.float64)) / (total + PRIOR)
 
 
-def _grow(level: int, least: float, few: float, tokens: int):
+def _grow(level: int, last: bool, least: float, few: float, tokens: int):
     """One partition of the tree's contexts of a level: every block's message to a reply."""
 
     def run(sent: pa.Table) -> pa.Table:
         got = []
         for x in sent.column("data"):
-            context, total, each, listed, at, count, known, below = _unpack(x.as_py(), U64, *[np.int64] * 6, np.float32)
+            context, total, each, listed, at, count, known, below = _unpack(x.as_py(), *[np.int64] * 7, np.float32)
+            at = _risen(at, each)
             if level == 1:
                 below = ((known + 1) / tokens).astype(np.float32)[at]
             got.append((np.cumsum(context), total, each, np.cumsum(listed)[at], count, below))
@@ -453,11 +492,14 @@ def _grow(level: int, least: float, few: float, tokens: int):
         back = (np.maximum(1 - add(listed), 1e-12) / np.maximum(rest_below, 1e-12)).astype(np.float32)
         own = keep & state[g]
         marks = often + 2 * own.astype(np.uint8)
+        rank, place = np.cumsum(often) - 1, sent.column("target")[0].as_py()
+        none = np.empty(0, np.int64)
         replies, i, j = [], 0, 0
         for x in got:
             a, b = of[i : i + len(x[0])], pair[j : j + len(x[3])]
             states = a[state[a]]
-            replies.append(_pack(state[a], back[states], t[states], marks[b], c[b[own[b]]]))
+            names = (none, none) if last else (_steps(rank[b[often[b]]]), np.array([place]))
+            replies.append(_pack(state[a], back[states], t[states], marks[b], c[b[own[b]]], *names))
             i, j = i + len(a), j + len(b)
         return _replies(level, sent, replies, [0] * len(replies))
 
@@ -502,8 +544,8 @@ def _send(load, partitions: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = load(left, right)
-        block.deeper()
-        return _sent(left.column("block")[0].as_py(), block.messages(partitions))
+        block.deeper(partitions)
+        return _sent(left.column("block")[0].as_py(), block.messages())
 
     return run
 
@@ -585,8 +627,8 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 heard = [x for _, x in sorted(zip(*(right.column(x).to_pylist() for x in ("target", "data")), strict=True))] if right.num_rows else []
                 _keep(f"{path}.{level}", heard)
             if level:
-                block.deeper()
-                block.hear(heard)
+                block.deeper(partitions)
+                block.hear(heard, partitions)
             else:
                 block.count(heard, end, total, distinct, few, cut)
         return block
@@ -597,7 +639,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     level = 0
     for level in range(1, depth + 1) if total else ():
-        got = over(replies, level - 1, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, least, few, total + distinct + 1), _REPLY_KIND)
+        got = over(replies, level - 1, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, level == depth, least, few, total + distinct + 1), _REPLY_KIND)
         before, replies = replies, scratch.save(got, f"level{level}")
         scratch.drop(before)
     out = over(replies, level, _scores(load, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
