@@ -49,7 +49,6 @@ BLOCK = 10 << 20
 PRIOR = 20.0
 #: Training tokens for each partition of the tree.
 PART_TOKENS = 2 << 20
-END_HASH = int(K.span_hashes(np.array([10], np.uint8), np.array([0]), np.array([1])).view(np.int64)[0])  # no word is a line feed
 #: In a reply: whether contexts are states, the states' factors for the suffix and training tokens, marks of pairs
 #: (1: occurs often, 2: listed), the listed ones' counts; before another level, ranks of the pairs that occur often, and
 #: the partition that ranked them.
@@ -70,8 +69,30 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
     return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
+def _write(path: str, data: bytes) -> None:
+    """Write a file; a task that runs again writes the same."""
+    out = AtomicOutput(path)
+    try:
+        out.write(data)
+    except BaseException:
+        out.abandon()
+        raise
+    out.commit()
+
+
+def _read(path: str) -> bytes:
+    with open_input(path) as stream:
+        return stream.read()
+
+
+def _words_path(path: str) -> str:
+    """The file of a block's words, which only the first round reads."""
+    folder, name = path.rsplit("/", 1)
+    return f"{folder}-words/{name}"
+
+
 def _blocks(root: str):
-    """Rows (id, held, text) as blocks: a file each, the training texts and their tokens."""
+    """Rows (id, held, text) as blocks: a file each and one of its words, the training texts and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -87,18 +108,15 @@ def _blocks(root: str):
             rank[order] = np.arange(len(order))
             sizes, held = np.concatenate(sizes), np.concatenate(held)
             path = f"{root}/block-{part:06d}-{number:06d}"
-            row = {"ids": [x for y in ids for x in y], "held": held, "sizes": sizes.astype(np.int64), "words": words[order].view(np.int64), "seq": _pack_numbers(rank[of])}
-            kinds = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("seq", pa.binary())])
+            hashes = words[order].view(U64)
+            order = np.argsort(hashes)
+            row = {"ids": [x for y in ids for x in y], "held": held, "sizes": sizes.astype(np.int64), "order": _pack_numbers(order), "seq": _pack_numbers(rank[of])}
+            kinds = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("order", pa.binary()), ("seq", pa.binary())])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kinds, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(pa.RecordBatch.from_pylist([row], kinds))
-            out = AtomicOutput(path)
-            try:
-                out.write(sink.getvalue().to_pybytes())
-            except BaseException:
-                out.abandon()
-                raise
-            out.commit()
+            _write(_words_path(path), _pack(_steps(hashes[order])))
+            _write(path, sink.getvalue().to_pybytes())
             texts = int((~held).sum())
             tokens = int(sizes[~held].sum()) + texts
             block, held_rows, size, number = part << 32 | number, [], 0, number + 1
@@ -322,27 +340,30 @@ class _Block:
     """A block, and the probabilities of its symbols in the tree as far as it has grown."""
 
     def __init__(self, path: str):
-        with open_input(path) as stream:
-            row = pa.ipc.open_stream(pa.py_buffer(stream.read())).read_all().combine_chunks()
-        self.ids, self.held, self.sizes, words = (row.column(x).chunk(0).values.to_numpy(zero_copy_only=False) if x != "ids" else row.column(x).chunk(0).values for x in ("ids", "held", "sizes", "words"))
-        self.hashes = np.concatenate(([END_HASH], words)).view(U64)
-        self.order = np.argsort(self.hashes[1:]) + 1
+        self.path = path
+        row = pa.ipc.open_stream(pa.py_buffer(_read(path))).read_all().combine_chunks()
+        self.ids, self.held, self.sizes = (row.column(x).chunk(0).values.to_numpy(zero_copy_only=False) if x != "ids" else row.column(x).chunk(0).values for x in ("ids", "held", "sizes"))
+        self.order = _unpack_numbers(row.column("order")[0].as_py()) + 1  # the words by hash
+        self.symbols = len(self.order) + 1
         seq = _unpack_numbers(row.column("seq")[0].as_py())
-        self.number, self.at = _sequence(seq, self.sizes, np.arange(1, len(words) + 1))
+        self.number, self.at = _sequence(seq, self.sizes, np.arange(1, self.symbols))
         width = self.sizes + 2
         self.place = np.arange(len(self.number)) - np.repeat(self.at[:-1], width)
         self.train = ~np.repeat(self.held, width)
 
+    def _hashes(self) -> np.ndarray:
+        return np.cumsum(_unpack(_read(_words_path(self.path)), U64)[0])
+
     def words(self, partitions: int) -> Iterator[tuple[int, bytes]]:
         """For each partition of the words: words and their counts in training texts."""
-        counts = np.bincount(self.number[self.train], minlength=len(self.hashes))[self.order]
-        hashes = self.hashes[self.order]
+        counts = np.bincount(self.number[self.train], minlength=self.symbols)[self.order]
+        hashes = self._hashes()
         for to, a, b in _targets(hashes, partitions):
             yield to, _pack(_steps(hashes[a:b]), counts[a:b])
 
     def count(self, replies: list[bytes], end: int, total: int, distinct: int, few: float, cut: tuple[int, int] | None) -> None:
         """The root, from all words' counts."""
-        counts, self.global_ = np.full(len(self.hashes), end), np.zeros(len(self.hashes), np.int64)
+        counts, self.global_ = np.full(self.symbols, end), np.zeros(self.symbols, np.int64)
         if replies:
             got = [_unpack(x, *[np.int64] * 3) for x in replies]
             counts[self.order] = np.concatenate([x for x, _, _ in got])
@@ -350,14 +371,15 @@ class _Block:
         order = np.argsort(self.global_)  # from here the block's own numbers rise with those of all blocks
         own = np.empty(len(order), np.int64)
         own[order] = np.arange(len(order))
-        self.number, self.hashes, self.global_, counts = own[self.number], self.hashes[order], self.global_[order], counts[order]
+        often = counts >= few
+        if cut is not None:
+            n, hashes = counts[self.order], self._hashes().view(np.int64)
+            often[self.order] &= (n > cut[0]) | (n == cut[0]) & (hashes <= cut[1])
+        self.number, self.global_, counts, often = own[self.number], self.global_[order], counts[order], often[order]
         self.counts = counts
         self.known = (counts > 0)[self.number]
         self.root = (counts + 1) / (total + distinct + 1)
         self.p = self.root[self.number]
-        often = counts >= few
-        if cut is not None:
-            often[1:] &= (counts[1:] > cut[0]) | (counts[1:] == cut[0]) & (self.hashes[1:].view(np.int64) <= cut[1])
         self.often = often[self.number]  # the symbol after the context of the last round, in all training texts
         self.called = self.global_[self.number]  # the number of that context with the symbol, where it occurs often
         self.level = 0
@@ -371,7 +393,7 @@ class _Block:
         self.contexts, self.of = np.unique(_dealt(self.called[self.where - 1], partitions), return_inverse=True)
         pairs = self.often[self.where]
         self.pair_where = self.where[pairs]
-        self.pairs, self.pair_of = np.unique(self.of[pairs] * len(self.hashes) + self.number[self.pair_where], return_inverse=True)
+        self.pairs, self.pair_of = np.unique(self.of[pairs] * self.symbols + self.number[self.pair_where], return_inverse=True)
 
     def _below(self) -> np.ndarray:
         """Probabilities of the pairs' symbols in the suffixes of their contexts."""
@@ -387,7 +409,7 @@ class _Block:
         totals = np.bincount(self.of[self.train[self.where]], minlength=n)
         counts = np.bincount(self.pair_of[self.train[self.pair_where]], minlength=len(self.pairs))
         below = self._below()
-        context, symbol = self.pairs // len(self.hashes), self.pairs % len(self.hashes)
+        context, symbol = self.pairs // self.symbols, self.pairs % self.symbols
         each = np.bincount(context, minlength=n)
         firsts = np.concatenate(([0], np.cumsum(each)))
         for to, a, b in _runs(self.contexts >> _PLACE):
@@ -415,7 +437,7 @@ class _Block:
         of_context[state], totals[state] = back, total
         own = marks & 2 > 0
         p = np.zeros(len(marks))
-        p[own] = _smoothed(count, below[own], totals[self.pairs[own] // len(self.hashes)])
+        p[own] = _smoothed(count, below[own], totals[self.pairs[own] // self.symbols])
         self.p[self.where] *= of_context[self.of]
         self.often[self.pair_where] = often[self.pair_of]
         self.called[self.pair_where] = named[self.pair_of]
@@ -512,49 +534,53 @@ def _sent(block: int, messages: Iterator[tuple[int, bytes]]) -> pa.Table:
 
 
 def _ask(partitions: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _sent(row["block"], _Block(row["path"]).words(partitions)).to_batches()
+    def run(row: dict) -> pa.Table:
+        return _sent(row["block"], _Block(row["path"]).words(partitions))
 
     return run
 
 
-def _keep(path: str, heard: list[bytes]) -> None:
-    """Write what a block heard in a round; a task that runs again writes the same."""
-    out = AtomicOutput(path)
-    try:
-        out.write(np.array([len(heard), *map(len, heard)], "<i8").tobytes() + b"".join(heard))
-    except BaseException:
-        out.abandon()
-        raise
-    out.commit()
+def _hear(level: int):
+    """Cogrouped by block: its path, and the replies of a round, which go to a file."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        heard = [x for _, x in sorted(zip(*(right.column(x).to_pylist() for x in ("target", "data")), strict=True))] if right.num_rows else []
+        _write(f"{left.column('path')[0].as_py()}.{level}", np.array([len(heard), *map(len, heard)], "<i8").tobytes() + b"".join(heard))
+        return left.select(["block"])
+
+    return run
 
 
 def _recall(path: str) -> list[bytes]:
-    with open_input(path) as stream:
-        data = stream.read()
+    data = _read(path)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     ends = 8 * n + 8 + np.concatenate(([0], np.cumsum(np.frombuffer(data, "<i8", n, 8))))
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _send(load, partitions: int):
-    """Cogrouped by block: its path, and the replies of the last round."""
+def _each(run):
+    """A function from a row of a block to a table, over batches; one block is held at a time."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = load(left, right)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from run(row).to_batches()
+
+    return over
+
+
+def _send(load, partitions: int):
+    def run(row: dict) -> pa.Table:
+        block = load(row)
         block.deeper(partitions)
-        return _sent(left.column("block")[0].as_py(), block.messages())
+        return _sent(row["block"], block.messages())
 
     return run
 
 
 def _scores(load, total: int):
-    """Cogrouped by block: its path, and the replies of the last round."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = load(left, right)
+    def run(row: dict) -> pa.Table:
+        block = load(row)
         inner = block.place > 0
 
         def sums(x: np.ndarray) -> np.ndarray:
@@ -602,11 +628,13 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "pst")
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.crc32(name) % folds == fold).alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    blocks = scratch.save(rows.mapInArrow(_blocks(scratch.path("texts")), _BLOCK_KIND), "blocks")
-    own = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("texts", "tokens")]).first()
+    texts = scratch.path("texts")
+    blocks = scratch.save(rows.mapInArrow(_blocks(texts), _BLOCK_KIND), "blocks")
+    own = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("texts", "tokens")], F.count("*").alias("blocks")).first()
     end, total = own["texts"], own["tokens"]
     partitions = total // PART_TOKENS + 1
-    counts = blocks.mapInArrow(_ask(partitions), _SENT_KIND).groupBy("target").applyInArrow(_count(partitions), _REPLY_KIND)
+    spread = blocks.select("block", "path").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), own["blocks"]))
+    counts = spread.mapInArrow(_each(_ask(partitions)), _SENT_KIND).groupBy("target").applyInArrow(_count(partitions), _REPLY_KIND)
     replies = scratch.save(counts, "counts")
     distinct = replies.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("n")).first()["n"]
     cut = None
@@ -616,31 +644,33 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share = least * total if least < 1 else 0
     few, least = max(2, share / 10), max(2, share, least)
 
-    def load(left: pa.Table, right: pa.Table) -> _Block:
-        """A block, with the replies of the last round from `right` and those before from its files."""
-        path = left.column("path")[0].as_py()
-        block, last = _Block(path), left.column("rounds")[0].as_py()
-        for level in range(last + 1):
-            if level < last:
-                heard = _recall(f"{path}.{level}")
-            else:
-                heard = [x for _, x in sorted(zip(*(right.column(x).to_pylist() for x in ("target", "data")), strict=True))] if right.num_rows else []
-                _keep(f"{path}.{level}", heard)
-            if level:
-                block.deeper(partitions)
-                block.hear(heard, partitions)
-            else:
-                block.count(heard, end, total, distinct, few, cut)
-        return block
-
-    def over(replies: DataFrame, level: int, run, kind: str) -> DataFrame:
-        """All blocks with the replies of a round."""
-        return blocks.select("block", "path", F.lit(level).alias("rounds")).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, kind)
-
+    def listen(replies: DataFrame, level: int) -> None:
+        """Every block hears the replies of a round, which are dropped then."""
+        scratch.save(blocks.select("block", "path").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_hear(level), "block long"), "heard")
+        scratch.drop(replies)
+
+    def load(level: int):
+        """Of a block's row, the block with what it heard up to a level."""
+
+        def run(row: dict) -> _Block:
+            block = _Block(row["path"])
+            for k in range(level + 1):
+                heard = _recall(f"{row['path']}.{k}")
+                if k:
+                    block.deeper(partitions)
+                    block.hear(heard, partitions)
+                else:
+                    block.count(heard, end, total, distinct, few, cut)
+            return block
+
+        return run
+
+    if cut is None:
+        scratch.drop(f"{texts}-words")
+    listen(replies, 0)
     level = 0
     for level in range(1, depth + 1) if total else ():
-        got = over(replies, level - 1, _send(load, partitions), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, level == depth, least, few, total + distinct + 1), _REPLY_KIND)
-        before, replies = replies, scratch.save(got, f"level{level}")
-        scratch.drop(before)
-    out = over(replies, level, _scores(load, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        got = spread.mapInArrow(_each(_send(load(level - 1), partitions)), _SENT_KIND).groupBy("target").applyInArrow(_grow(level, level == depth, least, few, total + distinct + 1), _REPLY_KIND)
+        listen(scratch.save(got, f"level{level}"), level)
+    out = spread.mapInArrow(_each(_scores(load(level), total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
