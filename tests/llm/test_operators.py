@@ -469,3 +469,16 @@ def test_warc_ranges(spark, tmp_path):
     assert sorted(r["page_id"] for r in rows if r["path"].endswith("a.warc")) == list(range(80))
     cut = sorted(r["page_id"] for r in rows if r["path"].endswith("cut.warc"))
     assert cut == list(range(len(cut))) and cut
+
+
+def test_suffix_tree_numbers():
+    """Contexts' keys are distinct whatever the partition that numbered them; differences within groups come back."""
+    for partitions in (1, 3, 7):
+        numbers = np.concatenate([[0], *[pst._numbered(t, np.arange(50), partitions) for t in range(partitions)]])
+        keys = pst._dealt(numbers, partitions)
+        assert len(set(numbers.tolist())) == len(set(keys.tolist())) == 50 * partitions + 1
+        assert set((keys >> pst._PLACE).tolist()) == set(range(partitions))
+    for each in ([0, 3, 0, 1, 2, 0], [0, 0], []):
+        x = np.array([5, 6, 9, 0, 2, 7][: sum(each)], np.int64)
+        each = np.array(each, np.int64)
+        assert pst._risen(pst._rises(x, each), each).tolist() == x.tolist()
