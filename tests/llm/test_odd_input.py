@@ -291,3 +291,26 @@ def test_saving_leaves_no_shuffle_files(spark):
         raise AssertionError("shuffle files stay")
     assert saved_.agg(F.sum("count")).first()[0] == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_intermediates_written_without_commands(spark, monkeypatch):
+    """Hadoop's local files come with checksums, and a command for each file; those of the workers with neither."""
+    rows = [(i, [i, -i], None if i % 5 else f"é{i}", i % 2 == 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "id long, list array<long>, text string, even boolean")
+    monkeypatch.setattr("tidemark.llm.scratch._GROUP", 1 << 10)
+    scratch = Scratch(spark, "quiet", quiet=True)
+    kept = scratch.save(docs.withColumn("sum", F.col("id").cast("decimal(20,0)")).repartition(7, "id"), "docs")
+    assert sorted(tuple(r)[:4] for r in kept.collect()) == rows and kept.filter("sum = id").count() == 500
+    assert scratch.save(docs.filter("id < 0"), "none").count() == 0
+    assert not [f for _, _, names in os.walk(scratch.root[5:]) for f in names if not f.endswith(".parquet") or f.startswith(".")]
+
+
+def test_near_duplicates_start_no_commands(spark, monkeypatch):
+    roots = []
+    made = Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a, **k: (made(self, *a, **k), roots.append(self.root))[0])
+    texts = [f"{i % 4} {'a b c d e f g h i j k l m n o p'} {i}" for i in range(40)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 40
+    files = [f for root in roots for _, _, names in os.walk(root[5:]) for f in names]
+    assert files and not [f for f in files if f.endswith(".crc")]

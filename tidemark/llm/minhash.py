@@ -284,7 +284,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (smallest id reachable by links), kept."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(spark, "minhash", quiet=True)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = scratch.save(docs.mapInArrow(_signatures(width, rows, tables), _SIGNATURE), "signatures")
     same = ["n_shingles", "set_a", "set_b"]

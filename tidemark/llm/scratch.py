@@ -3,6 +3,10 @@
 Intermediates that are read more than once, or that cut a lineage, are written as Parquet below the folder
 named by ``spark.checkpoint.dir``, which the driver and all executors share.  A lost executor then costs its
 running tasks only.  In local mode an unset folder falls back to a temporary one; on a cluster that is refused.
+
+For a `file:` folder Hadoop sets the mode of each file and folder by starting a command.  Until the new process runs
+it, it has all of the JVM's memory, and whoever adds up an executor's processes counts that twice.  An operator whose
+executors hold much memory can have its intermediates written by the Python workers, which start nothing.
 """
 
 from __future__ import annotations
@@ -14,9 +18,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import AtomicOutput, locate
+
 _local_roots: list[str] = []
 
 
@@ -59,13 +68,50 @@ def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+#: Bytes of rows in a row group that a Python worker writes.
+_GROUP = 8 << 20
+
+
+def _writing(folder: str):
+    """Rows to a Parquet file a task, named for the try; emits its name, none without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet"
+        batches = (x for x in batches if x.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        out = AtomicOutput(f"{folder}/{name}")
+        try:
+            with pq.ParquetWriter(out.stream, first.schema) as writer:
+                held, size = [first], first.nbytes
+                for batch in batches:
+                    if size >= _GROUP:
+                        writer.write_table(pa.Table.from_batches(held))
+                        held, size = [], 0
+                    held.append(batch)
+                    size += batch.nbytes
+                writer.write_table(pa.Table.from_batches(held))
+        except BaseException:
+            out.abandon()
+            raise
+        out.commit()
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
 class Scratch:
-    """A folder of intermediates for one operator call; dropped explicitly or when the driver exits."""
+    """A folder of intermediates for one operator call; dropped explicitly or when the driver exits.
 
-    def __init__(self, spark: SparkSession, name: str):
+    With `quiet`, intermediates in a `file:` folder are written by the Python workers.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, quiet: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._quiet = quiet and self.root.startswith("file:")
         bound_batches(spark)
         atexit.register(self._at_exit)
 
@@ -81,11 +127,23 @@ class Scratch:
         """
         path = self.path(name)
         with _brief_shuffles(self.spark):
-            df.write.mode("overwrite").parquet(path)
+            if self._quiet:
+                self._write(df, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _write(self, df: DataFrame, path: str) -> None:
+        """Of tasks that are tried more than once, only what the one try that counts has written gets to `path`."""
+        tries = f"{path}-tries"
+        names = df.mapInArrow(_writing(tries), "name string").collect()
+        system, folder = locate(path)
+        system.create_dir(folder, recursive=True)
+        for row in names:
+            system.move(f"{locate(tries)[1]}/{row['name']}", f"{folder}/{row['name']}")
+
     def drop(self, *saved: DataFrame | str) -> None:
         for x in saved:
             self._delete(x if isinstance(x, str) else x.scratch_path)
