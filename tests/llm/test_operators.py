@@ -482,3 +482,21 @@ def test_suffix_tree_numbers():
         x = np.array([5, 6, 9, 0, 2, 7][: sum(each)], np.int64)
         each = np.array(each, np.int64)
         assert pst._risen(pst._rises(x, each), each).tolist() == x.tolist()
+
+
+def test_suffix_tree_sends_what_is_not_known():
+    """A pair without training tokens comes without a probability; a block that has all listed symbols finds the factor."""
+    none, one = np.empty(0, np.int64), lambda *x: np.array(x, np.int64)
+    seen = pst._pack(one(5), one(50), one(1), one(7), one(0), one(40), none, np.array([0.01], np.float32))
+    held = pst._pack(one(5), one(0), one(1), one(7), one(0), one(0), none, np.empty(0, np.float32))
+    bare = pst._pack(one(5), one(60), one(0), none, none, none, none, np.empty(0, np.float32))
+    sent = pa.table({"block": [0, 1, 2], "target": [0, 0, 0], "data": pa.array([held, seen, bare], pa.binary())})
+    replies = [pst._unpack(x.as_py(), *pst._REPLY) for x in pst._grow(2, True, 2, 2, 1000)(sent).column("data")]
+    assert [x[0].tolist() for x in replies] == [[2], [2], [1]] and [len(x[1]) for x in replies] == [0, 0, 1]
+    assert [x[2].tolist() for x in replies] == [[110]] * 3 and [x[4].tolist() for x in replies] == [[40], [40], []]
+    below = np.array([0.01], np.float32)
+    p = pst._smoothed(np.array([40]), below, np.array([110]))
+    assert replies[2][1][0] == pst._left(p, below.astype(np.float64))[0] and abs(p[0] + replies[2][1][0] * (1 - below[0]) - 1) < 1e-6
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 50, 400), rng.integers(0, 1 << 62, 400), none):
+        assert all((a == b).all() for a, b in zip(pst._unique(x), np.unique(x, return_inverse=True), strict=True))

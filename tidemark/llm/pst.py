@@ -49,10 +49,10 @@ BLOCK = 10 << 20
 PRIOR = 20.0
 #: Training tokens for each partition of the tree.
 PART_TOKENS = 2 << 20
-#: In a reply: whether contexts are states, the states' factors for the suffix and training tokens, marks of pairs
-#: (1: occurs often, 2: listed), the listed ones' counts; before another level, ranks of the pairs that occur often, and
-#: the partition that ranked them.
-_REPLY = (np.bool_, np.float32, np.int64, np.uint8, np.int64, np.int64, np.int64)
+#: In a reply: marks of contexts (1: a state, 2: a state whose listed symbols the block all has after it), the factors for
+#: the suffix of the former states, training tokens of both, marks of pairs (1: occurs often, 2: listed), the listed ones'
+#: counts; before another level, ranks of the pairs that occur often, and the partition that ranked them.
+_REPLY = (np.uint8, np.float32, np.int64, np.uint8, np.int64, np.int64, np.int64)
 _BLOCK_KIND = "block long, path string, texts long, tokens long"
 _SENT_KIND = "block long, target long, data binary"
 _REPLY_KIND = "round int, block long, target long, data binary, fresh long"
@@ -320,6 +320,21 @@ def _targets(sorted_hashes: np.ndarray, partitions: int) -> list[tuple[int, int,
     return _runs(((sorted_hashes >> U64(32)) * U64(partitions) >> U64(32)).astype(np.int64))
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of some numbers from 0 on, sorted, and each one's place among them.  Values are sorted together with
+    their places where both fit, which is much faster than to sort places by values."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()) >> (63 - bits):
+        return np.unique(x, return_inverse=True)
+    both = np.sort(x << bits | np.arange(len(x)))
+    value = both >> bits
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    of = np.empty(len(x), np.int64)
+    of[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return value[new], of
+
+
 def _rises(x: np.ndarray, each: np.ndarray) -> np.ndarray:
     """Numbers that rise within each group of `each` numbers, as a group's first and differences."""
     out = np.diff(x, prepend=x.dtype.type(0))
@@ -381,7 +396,7 @@ class _Block:
         self.root = (counts + 1) / (total + distinct + 1)
         self.p = self.root[self.number]
         self.often = often[self.number]  # the symbol after the context of the last round, in all training texts
-        self.called = self.global_[self.number]  # the number of that context with the symbol, where it occurs often
+        self.called, self.names = self.number, self.global_  # of that context with the symbol, where it occurs often: the block's own number, and the numbers
         self.level = 0
 
     def deeper(self, partitions: int) -> None:
@@ -390,10 +405,18 @@ class _Block:
         live = self.place >= self.level
         live[1:] &= self.often[:-1]  # how often the context itself occurs
         self.where = np.flatnonzero(live)
-        self.contexts, self.of = np.unique(_dealt(self.called[self.where - 1], partitions), return_inverse=True)
+        own = self.called[self.where - 1]
+        some = np.zeros(len(self.names), bool)
+        some[own] = True
+        some = np.flatnonzero(some)
+        keys = _dealt(self.names[some], partitions)
+        order = np.argsort(keys)
+        self.contexts, rank = keys[order], np.empty(len(self.names), np.int64)
+        rank[some[order]] = np.arange(len(order))
+        self.of = rank[own]
         pairs = self.often[self.where]
         self.pair_where = self.where[pairs]
-        self.pairs, self.pair_of = np.unique(self.of[pairs] * self.symbols + self.number[self.pair_where], return_inverse=True)
+        self.pairs, self.pair_of = _unique(self.of[pairs] * self.symbols + self.number[self.pair_where])
 
     def _below(self) -> np.ndarray:
         """Probabilities of the pairs' symbols in the suffixes of their contexts."""
@@ -403,8 +426,8 @@ class _Block:
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
         """For each of the tree's partitions: contexts, their training tokens and numbers of pairs; the distinct next
-        symbols; the pairs' symbols as places among these, counts, and probabilities in the context's suffix; at the
-        first level, where the suffix is the root, counts of the distinct symbols instead."""
+        symbols; the pairs' symbols as places among these, counts, and where these aren't 0 probabilities in the
+        context's suffix; at the first level, where the suffix is the root, counts of the distinct symbols instead."""
         n = len(self.contexts)
         totals = np.bincount(self.of[self.train[self.where]], minlength=n)
         counts = np.bincount(self.pair_of[self.train[self.pair_where]], minlength=len(self.pairs))
@@ -414,13 +437,10 @@ class _Block:
         firsts = np.concatenate(([0], np.cumsum(each)))
         for to, a, b in _runs(self.contexts >> _PLACE):
             x, y = firsts[a], firsts[b]
-            listed, of = np.unique(self.global_[symbol[x:y]], return_inverse=True)
-            known = np.empty(0, np.int64)
-            if self.level == 1:
-                known = np.empty(len(listed), np.int64)
-                known[of] = self.counts[symbol[x:y]]
+            own, of = _unique(symbol[x:y])
+            listed, known = self.global_[own], self.counts[own if self.level == 1 else own[:0]]
             places = self.contexts[a:b] & ((1 << _PLACE) - 1)
-            yield to, _pack(_steps(places), totals[a:b], each[a:b], _steps(listed), _rises(of, each[a:b]), counts[x:y], known, below[x:y] if self.level > 1 else below[:0])
+            yield to, _pack(_steps(places), totals[a:b], each[a:b], _steps(listed), _rises(of, each[a:b]), counts[x:y], known, below[x:y][counts[x:y] > 0] if self.level > 1 else below[:0])
 
     def hear(self, replies: list[bytes], partitions: int) -> None:
         """Replies in the order of the partitions."""
@@ -434,13 +454,18 @@ class _Block:
             named[often] = np.concatenate([_numbered(int(x[6][0]), np.cumsum(x[5]), partitions) for x in got])
         below = self._below()
         of_context, totals = np.ones(len(self.contexts)), np.zeros(len(self.contexts), np.int64)
-        of_context[state], totals[state] = back, total
+        totals[state > 0] = total
         own = marks & 2 > 0
         p = np.zeros(len(marks))
-        p[own] = _smoothed(count, below[own], totals[self.pairs[own] // self.symbols])
+        context = self.pairs[own] // self.symbols
+        p[own] = _smoothed(count, below[own], totals[context])
+        sums = (np.bincount(context, x, len(totals)) for x in (p[own], below[own]))
+        of_context[state == 2] = _left(*(x[state == 2] for x in sums))
+        of_context[state == 1] = back
         self.p[self.where] *= of_context[self.of]
         self.often[self.pair_where] = often[self.pair_of]
-        self.called[self.pair_where] = named[self.pair_of]
+        self.called, self.names = np.zeros(len(self.number), np.int64), named
+        self.called[self.pair_where] = self.pair_of
         own = own[self.pair_of]
         self.p[self.pair_where[own]] = p[self.pair_of[own]]
 
@@ -475,6 +500,11 @@ def _smoothed(count: np.ndarray, below: np.ndarray, total: np.ndarray) -> np.nda
     return (count + PRIOR * below.astype(np.float64)) / (total + PRIOR)
 
 
+def _left(listed: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """States' factors for what they don't list, from sums of probabilities of what they do, in them and in their suffixes."""
+    return (np.maximum(1 - listed, 1e-12) / np.maximum(1 - below, 1e-12)).astype(np.float32)
+
+
 def _grow(level: int, last: bool, least: float, few: float, tokens: int):
     """One partition of the tree's contexts of a level: every block's message to a reply."""
 
@@ -485,21 +515,21 @@ def _grow(level: int, last: bool, least: float, few: float, tokens: int):
             at = _risen(at, each)
             if level == 1:
                 below = ((known + 1) / tokens).astype(np.float32)[at]
+            else:
+                sent_, below = below, np.ones(len(count), np.float32)
+                below[count > 0] = sent_
             got.append((np.cumsum(context), total, each, np.cumsum(listed)[at], count, below))
         context, total, each, symbol, count, below = (np.concatenate(x) for x in zip(*got, strict=True))
-        contexts, of = np.unique(context, return_inverse=True)
+        contexts, of = _unique(context)
         n = len(contexts)
         totals = np.zeros(n, np.int64)
         np.add.at(totals, of, total)
         owner = np.repeat(of, each)
-        order = np.lexsort((symbol, owner))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(owner[order]) != 0) | (symbol[order][1:] != symbol[order][:-1])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        first = order[new]
-        g, q = owner[first], below[first].astype(np.float64)
-        c = np.zeros(len(first), np.int64)
+        symbols = int(symbol.max(initial=0)) + 1
+        pairs, pair = _unique(owner * symbols + symbol)
+        g, q = pairs // symbols, np.ones(len(pairs))
+        q[pair[count > 0]] = below[count > 0]
+        c = np.zeros(len(pairs), np.int64)
         np.add.at(c, pair, count)
         often = c >= few
         t = np.maximum(totals, 1)
@@ -511,7 +541,7 @@ def _grow(level: int, last: bool, least: float, few: float, tokens: int):
         gain[both] += rest[both] * np.log(rest[both] / t[both] / rest_below[both])
         state = (kept > 0) & (gain >= 0.5 * (kept + 1) * np.log(t + 1)) & (rest_below > 0)
         listed = _smoothed(c, q, t[g])
-        back = (np.maximum(1 - add(listed), 1e-12) / np.maximum(rest_below, 1e-12)).astype(np.float32)
+        back = _left(add(listed), add(q))
         own = keep & state[g]
         marks = often + 2 * own.astype(np.uint8)
         rank, place = np.cumsum(often) - 1, sent.column("target")[0].as_py()
@@ -520,8 +550,10 @@ def _grow(level: int, last: bool, least: float, few: float, tokens: int):
         for x in got:
             a, b = of[i : i + len(x[0])], pair[j : j + len(x[3])]
             states = a[state[a]]
+            there = np.bincount(np.repeat(np.arange(len(a)), x[2])[own[b]], minlength=len(a)) == kept[a]
+            mark = state[a] * (1 + there).astype(np.uint8)
             names = (none, none) if last else (_steps(rank[b[often[b]]]), np.array([place]))
-            replies.append(_pack(state[a], back[states], t[states], marks[b], c[b[own[b]]], *names))
+            replies.append(_pack(mark, back[a[mark == 1]], t[states], marks[b], c[b[own[b]]], *names))
             i, j = i + len(a), j + len(b)
         return _replies(level, sent, replies, [0] * len(replies))
 
