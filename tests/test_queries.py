@@ -1,10 +1,12 @@
 """Every registered query of the engine against DuckDB."""
 
+import datetime
 import glob
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.queries import ORACLE_SQL, QUERIES
 
@@ -39,3 +41,35 @@ def test_query(spark, duck, name):
     assert sorted(heads) == sorted(out.columns)
     got = cells(rows, [out.columns.index(c) for c in sorted(heads)])
     assert got == cells(result.fetchall(), [heads.index(c) for c in sorted(heads)])
+
+
+def _event_tables(spark, duck, folder, rows):
+    """The events of a folder, which DuckDB sees as `events` in a connection of its own."""
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+def test_time_filter_ends_at_its_second(spark, duck, tmp_path):
+    """An event within the second after the end is outside; the bounds themselves are inside."""
+    at = [1704239999.9, 1704240000, 1704240000.5, 1704671999.9, 1704672000, 1704672000.000001, 1704672000.7, 1704672001, None]
+    times = [t and datetime.datetime.fromtimestamp(t, datetime.UTC) for t in at]
+    con = _event_tables(spark, duck, tmp_path, [(k, t, 1, "view", 0.0, "{}") for k, t in enumerate(times)])
+    want = con.execute(ORACLE_SQL["time_filter_macro"]).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["time_filter_macro"](spark, str(tmp_path)).collect()) == sorted(want) == [(k,) for k in (1, 2, 3, 4)]
+
+
+def test_times_compare_with_their_fraction(spark):
+    from tidemark.operators.select import run_select
+    from tidemark.plans.parser import parse
+
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([(1, 99.5, 100), (2, 100.0, 100), (3, 100.5, 100)], "n long, s double, bound long")
+        df = df.withColumn("ts", F.timestamp_seconds("s").cast(kind)).withColumn("other", F.timestamp_seconds(F.lit(100.25)).cast(kind))
+        for where, want in {
+            "ts <= 100": [1, 2], "ts > 100": [3], "100 < ts": [3], "ts = 100": [2], "ts != 100": [1, 3], "ts <= bound": [1, 2],
+            "bound < ts": [3], "ts < 100.5": [1, 2], "ts >= 50 + 50": [2, 3], "ts < other": [1, 2], "ts < 10000000000000000": [1, 2, 3],
+        }.items():
+            got = run_select(df, parse(f"SELECT n FROM t WHERE {where}")).collect()
+            assert sorted(r[0] for r in got) == want, (kind, where)

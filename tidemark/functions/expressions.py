@@ -23,7 +23,7 @@ from ..plans.lexer import QueryError
 class Value:
     column: Column
     kind: str
-    time: Column | None = None  # the timestamp behind whole seconds, for comparisons that a scan can check
+    time: Column | None = None  # the timestamp behind whole seconds, which counts in comparisons
 
 
 UNDEFINED = "null"
@@ -238,8 +238,7 @@ class Compiler:
                 return Value(timed, "bool")
             if self.fold_case and a.kind == b.kind == "string":
                 x, y = F.lower(x), F.lower(y)
-            compare = {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}
-            return Value(compare[op], "bool")
+            return Value(_compare(op, x, y), "bool")
         kind = common(a, b)
         if op == "/":
             if kind == "int":  # truncates, and x / 0 is undefined
@@ -253,23 +252,31 @@ class Compiler:
 
 
 _MIRRORED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+#: Beyond this many seconds there is no timestamp.
+MOST_SECONDS = 9_000_000_000_000
+
+
+def _compare(op: str, x: Column, y: Column) -> Column:
+    return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
 def _on_time(op: str, a: Value, b: Value, node: N.Binary) -> Column | None:
-    """A time's whole seconds compared with a constant, as bounds on the timestamp itself."""
+    """A time compared with seconds, its fraction included; with a constant, as a bound on the timestamp itself, which a scan can check."""
     if a.time is None:
         if b.time is None:
             return None
         return _on_time(_MIRRORED[op], b, a, N.Binary(_MIRRORED[op], node.right, node.left))
-    if not isinstance(node.right, N.Literal) or type(node.right.value) is not int or op == "!=":
+    if isinstance(node.right, N.Literal) and type(node.right.value) is int and abs(node.right.value) <= MOST_SECONDS:
+        return _compare(op, a.time, F.timestamp_seconds(F.lit(node.right.value)).cast(_time_type(a)))
+    if b.time is not None:
+        return _compare(op, _micros(a), _micros(b))
+    if b.kind not in ("int", "real"):
         return None
+    return _compare(op, _micros(a) / 1e6, b.column)
 
-    def at(n: int) -> Column:
-        return F.timestamp_seconds(F.lit(n)).cast(_time_type(a))
 
-    n = node.right.value
-    after, before = a.time >= at(n + (op == ">")), a.time < at(n + (op != "<"))
-    return {"==": after & before, "<": before, "<=": before}.get(op, after)
+def _micros(v: Value) -> Column:
+    return F.unix_micros(v.time.cast("timestamp"))
 
 
 def _time_type(v: Value) -> str:
