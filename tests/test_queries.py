@@ -73,3 +73,26 @@ def test_times_compare_with_their_fraction(spark):
         }.items():
             got = run_select(df, parse(f"SELECT n FROM t WHERE {where}")).collect()
             assert sorted(r[0] for r in got) == want, (kind, where)
+
+
+def test_topn_orders_by_the_time_itself(spark, duck, tmp_path):
+    """Of events within one second the latest comes first, whatever its id; those without a time come last."""
+    at = [1704240000.9, 1704240000.1, 1704240000.5, 1704239000.0, None, 1704240000.5]
+    times = [t and datetime.datetime.fromtimestamp(t, datetime.UTC) for t in at]
+    con = _event_tables(spark, duck, tmp_path, [(10 - k, t, k // 6, "view", 0.0, "{}") for k, t in enumerate(times)] + [(20, None, 7, "view", 0.0, "{}")])
+    for name in ("qualify_topn", "rank_row_number"):
+        want = con.execute(ORACLE_SQL[name]).fetchall()
+        assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want), name
+    top = {tuple(r) for r in QUERIES["qualify_topn"](spark, str(tmp_path)).collect()}
+    assert top == {(0, 10, 1), (0, 5, 2), (0, 8, 3), (7, 20, 1)}
+
+
+def test_rows_sort_by_the_time_itself(spark):
+    from tidemark.operators.select import run_select
+    from tidemark.plans.parser import parse
+
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([(1, 100.2), (2, 100.9), (3, 100.5), (4, None)], "n long, s double").withColumn("ts", F.timestamp_seconds("s").cast(kind))
+        for text, want in {"SELECT n FROM t ORDER BY ts": [1, 3, 2, 4], "SELECT * FROM t ORDER BY ts DESC LIMIT 3": [4, 2, 3]}.items():
+            assert [r["n"] for r in run_select(df, parse(text)).collect()] == want, (kind, text)
+        assert [r["n"] for r in run_select(df, parse("SELECT n FROM t ORDER BY ts DESC LIMIT 1"), undefined_last=True).collect()] == [2]

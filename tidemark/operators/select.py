@@ -52,37 +52,47 @@ def aggregate_column(node: N.Aggregate, df: DataFrame, fold_case: bool = False)
     return Value(make(kept(x)), kind)
 
 
-def _sorted(df: DataFrame, order: list[tuple[Column, bool]], limit: int) -> DataFrame:
-    """Undefined sorts after everything, so first when descending."""
+def _order_of(v: Value) -> Column:
+    """What a value sorts by: a time by its timestamp, of which it shows whole seconds."""
+    return v.time if v.time is not None else key_of(v)
+
+
+def _terms(order: list[tuple[Column, bool]], undefined_last: bool) -> list[Column]:
+    """Undefined sorts after everything, so first when descending, or last in either direction."""
+    return [(c.desc_nulls_last() if undefined_last else c.desc_nulls_first()) if down else c.asc_nulls_last() for c, down in order]
+
+
+def _sorted(df: DataFrame, order: list[tuple[Column, bool]], limit: int, undefined_last: bool = False) -> DataFrame:
     if order:
-        df = df.orderBy(*[c.desc_nulls_first() if down else c.asc_nulls_last() for c, down in order])
+        df = df.orderBy(*_terms(order, undefined_last))
     return df.limit(limit) if limit else df
 
 
-def run_select(df: DataFrame, st: N.Select, fold_case: bool = False) -> DataFrame:
-    """`df` is the table that the statement names."""
+def run_select(df: DataFrame, st: N.Select, fold_case: bool = False, undefined_last: bool = False) -> DataFrame:
+    """`df` is the table that the statement names; with `undefined_last`, undefined sorts last also when descending, as in DuckDB."""
     compiler = Compiler(resolver(df), fold_case=fold_case)
     if st.where is not None:
         df = df.filter(compiler.condition(st.where))
     aggregated = st.group or st.having is not None or any(N.has(i.node, N.Aggregate) for i in st.items)
     if aggregated:
-        return _aggregate(df, st, fold_case)
+        return _aggregate(df, st, fold_case, undefined_last)
     if any(isinstance(i.node, N.Ranking) for i in st.items):
-        return _rank(df, st, compiler)
+        return _rank(df, st, compiler, undefined_last)
     if st.star:
+        if not st.distinct:
+            return star_order(_sorted(df, [(_order_of(compiler.value(n)), d) for n, d in st.order], st.limit, undefined_last))
         out = star_order(df)
-        if st.distinct:
-            out = out.select(*[key_of(compiler.value(N.Ref(c))).alias(c) for c in out.columns]).distinct()
-            compiler = Compiler(resolver(out), fold_case=fold_case)
-        return _sorted(out, [(key_of(compiler.value(n)), d) for n, d in st.order], st.limit)
+        out = out.select(*[key_of(compiler.value(N.Ref(c))).alias(c) for c in out.columns]).distinct()
+        compiler = Compiler(resolver(out), fold_case=fold_case)
+        return _sorted(out, [(key_of(compiler.value(n)), d) for n, d in st.order], st.limit, undefined_last)
     heads = names(st.items)
     if st.distinct:
         out = df.select(*[key_of(compiler.value(i.node)).alias(h) for i, h in zip(st.items, heads, strict=True)]).distinct()
-        return _sorted(out, _output_order(st, out, heads), st.limit)
+        return _sorted(out, _output_order(st, out, heads), st.limit, undefined_last)
     # sort by a column of the table or of the result, before columns are dropped
     own = {h.lower(): i.node for i, h in zip(st.items, heads, strict=True) if i.alias}
-    order = [(key_of(compiler.value(own.get(n.name.lower(), n) if isinstance(n, N.Ref) else n)), d) for n, d in st.order]
-    return _sorted(df, order, st.limit).select(*[compiler.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)])
+    order = [(_order_of(compiler.value(own.get(n.name.lower(), n) if isinstance(n, N.Ref) else n)), d) for n, d in st.order]
+    return _sorted(df, order, st.limit, undefined_last).select(*[compiler.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)])
 
 
 def _output_order(st: N.Select, out: DataFrame, heads: list[str]) -> list[tuple[Column, bool]]:
@@ -97,7 +107,7 @@ def _output_order(st: N.Select, out: DataFrame, heads: list[str]) -> list[tuple[
     return result
 
 
-def _aggregate(df: DataFrame, st: N.Select, fold_case: bool) -> DataFrame:
+def _aggregate(df: DataFrame, st: N.Select, fold_case: bool, undefined_last: bool) -> DataFrame:
     compiler = Compiler(resolver(df), fold_case=fold_case)
     keys = grouping(st)
     for k in keys:
@@ -136,20 +146,20 @@ def _aggregate(df: DataFrame, st: N.Select, fold_case: bool) -> DataFrame:
     out = out.select(*[after.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)])
     if st.distinct:
         out = out.distinct()
-    return _sorted(out, _output_order(st, out, heads), st.limit)
+    return _sorted(out, _output_order(st, out, heads), st.limit, undefined_last)
 
 
-def _rank(df: DataFrame, st: N.Select, compiler: Compiler) -> DataFrame:
+def _rank(df: DataFrame, st: N.Select, compiler: Compiler, undefined_last: bool) -> DataFrame:
     heads = names(st.items)
     functions = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}
     ranked: dict[str, str] = {}
     for n, (i, h) in enumerate(zip(st.items, heads, strict=True)):
         if not isinstance(i.node, N.Ranking):
             continue
-        terms = [(key_of(compiler.value(t)), d) for t, d in i.node.order]
+        terms = [(_order_of(compiler.value(t)), d) for t, d in i.node.order]
         if i.node.name == "ROW_NUMBER":  # ties in the order of the table, as far as it has one
             terms += [(F.col(f"`{c}`"), False) for c in df.columns if c in ("_seq", "Key")]
-        spec = Window.partitionBy(*[key_of(compiler.value(N.Ref(p))) for p in i.node.partition]).orderBy(*[c.desc_nulls_first() if d else c.asc_nulls_last() for c, d in terms])
+        spec = Window.partitionBy(*[key_of(compiler.value(N.Ref(p))) for p in i.node.partition]).orderBy(*_terms(terms, undefined_last))
         df = df.withColumn(f"_r{n}", functions[i.node.name]().over(spec))
         ranked[h.lower()] = f"_r{n}"
 
@@ -164,7 +174,7 @@ def _rank(df: DataFrame, st: N.Select, compiler: Compiler) -> DataFrame:
     if st.qualify is not None:
         df = df.filter(after.condition(st.qualify))
     out = df.select(*[after.column(i.node).alias(h) for i, h in zip(st.items, heads, strict=True)])
-    return _sorted(out, _output_order(st, out, heads), st.limit)
+    return _sorted(out, _output_order(st, out, heads), st.limit, undefined_last)
 
 
 __all__ = ["aggregate_column", "group_level", "kind_of", "names", "run_select", "star_order"]
