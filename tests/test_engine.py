@@ -235,6 +235,82 @@ def test_match_greedy_all_parts(spark, tmp_path):
     assert got == want and len(taken) > 41
 
 
+def _market(spark, rank_type="double"):
+    """Requests and resources with ties, undefined values and attributes of few values."""
+    requests = [(f"q{k:02}", k * 7 % 5 if k % 11 else None, float(k * 13 % 17) if k % 9 else None) for k in range(40)]
+    resources = [(f"r{k:02}", k * 3 % 6 if k % 10 else None, float(k * 29 % 23) if k % 8 else None) for k in range(50)]
+    a = spark.createDataFrame(requests, "Key string, Cpus long, Need double")
+    b = spark.createDataFrame(resources, "Key string, Slots long, Size double")
+    return a.withColumn("Need", F.col("Need").cast(rank_type)), b.withColumn("Size", F.col("Size").cast(rank_type))
+
+
+#: Requirements and Rank of the requests, Requirements of the resources, type of Need and Size.
+MARKETS = [
+    ("TARGET.Size >= Need && Cpus <= TARGET.Slots", "TARGET.Size", "true", "double"),
+    ("TARGET.Size > Need && Cpus <= TARGET.Slots", "Size", "Size != 4 && TARGET.Cpus > 0", "decimal(18,2)"),
+    ("TARGET.Size >= Need", "TARGET.Size", "TARGET.Need + 1 < Size", "long"),
+    ("TARGET.Size >= Cpus", "TARGET.Size", "true", "decimal(18,2)"),
+    ("TARGET.Size >= Need && Cpus <= TARGET.Slots", "TARGET.Size * (Cpus - 2)", "true", "double"),
+    ("TARGET.Size <= Need || Cpus == TARGET.Slots", "0 - TARGET.Size", "TARGET.Cpus != 3", "double"),
+    ("Need > 3", "TARGET.Slots", "Slots < 4", "double"),
+    ("TARGET.Size >= Need", None, None, "double"),
+    (None, "TARGET.Slots", "true", "double"),
+]
+
+
+def _with_texts(a, b, mine, rank, theirs):
+    a = a.withColumn("Requirements", F.lit(mine)) if mine else a
+    a = a.withColumn("Rank", F.lit(rank)) if rank else a
+    return a, b.withColumn("Requirements", F.lit(theirs)) if theirs else b
+
+
+@pytest.mark.parametrize(("mine", "rank", "theirs", "kind"), MARKETS)
+def test_match_best(spark, mine, rank, theirs, kind):
+    """The best resources are those of all candidates."""
+    from tidemark.operators import match
+
+    a, b = _with_texts(*_market(spark, kind), mine, rank, theirs)
+    for using in ((), ("Cpus", "Need"), ("Need",)):
+        want = match.top_candidates(match.candidates(a, b, using=using), 3).collect()
+        got = match.top(a, b, 3, using=using).collect()
+        assert want or using == ("Need",)
+        assert sorted((r["request"], r["place"], r["resource"], r["rank"]) for r in got) == sorted((r["request"], r["place"], r["resource"], r["rank"]) for r in want), using
+
+
+def test_match_best_of_many_texts(spark, monkeypatch):
+    from tidemark.operators import match
+
+    monkeypatch.setattr(match, "MOST_TEXTS", 12)
+    a, b = _market(spark)
+    a = a.withColumn("Requirements", F.concat(F.lit("TARGET.Size >= Need + "), F.substring("Key", 3, 1))).withColumn("Rank", F.when(F.col("Cpus") > 2, "TARGET.Size").otherwise("0 - TARGET.Slots"))
+    b = b.withColumn("Requirements", F.when(F.col("Slots") > 1, F.concat(F.lit("TARGET.Cpus != "), F.substring("Key", 3, 1))))
+    want = match.top_candidates(match.candidates(a, b), 2).select("request", "resource", "place").collect()
+    assert want and sorted(map(tuple, match.top(a, b, 2).select("request", "resource", "place").collect())) == sorted(map(tuple, want))
+
+
+def test_match_bound_beyond_doubles(spark):
+    """Balances that are one double, but not one decimal."""
+    from tidemark.operators import match
+
+    base = 9_007_199_254_740_992
+    a = spark.createDataFrame([("q", base + 1)], "Key string, Need long").withColumn("Requirements", F.lit("TARGET.Size >= Need")).withColumn("Rank", F.lit("TARGET.Size"))
+    b = spark.createDataFrame([("r1", base), ("r2", base + 1)], "Key string, Size long")
+    assert [r["resource"] for r in match.top(a, b, 1).collect()] == ["r2"]
+
+
+def test_match_best_joins_few(spark, tmp_path, monkeypatch):
+    """Of resources that no bound but the rank's tells apart, only the best are joined."""
+    from tidemark.operators import match
+    from tidemark.queries import QUERIES
+
+    spark.range(300).selectExpr("id AS p_partkey", "double(900 + id % 50) AS p_retailprice", "int(id % 30) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2000).selectExpr("id AS s_suppkey", "double(id * 37 % 3000) AS s_acctbal", "int(id % 25) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen, best = [], match.top_candidates
+    monkeypatch.setattr(match, "top_candidates", lambda pairs, n: seen.append(pairs) or best(pairs, n))
+    assert QUERIES["match_candidates"](spark, str(tmp_path)).count() == 2 * 250
+    assert 0 < seen[0].count() <= 150 * 25 * 2
+
+
 def test_wide_rows_survive(engine, spark):
     """Each write keeps every row, also when adaptive execution merges shuffle partitions."""
     wide = spark.range(40_000).select(F.col("id").cast("string").alias("Key"), F.col("id").alias("n"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 16).alias("pad"))

@@ -193,8 +193,7 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts ask for suppliers whose balance covers the price; both have expression texts."""
     part = _read(spark, sf_dir, "part").withColumn("Requirements", F.lit("TARGET.s_acctbal >= p_retailprice && p_size <= TARGET.s_nationkey")).withColumn("Rank", F.lit("TARGET.s_acctbal"))
     supplier = _read(spark, sf_dir, "supplier").withColumn("Requirements", F.lit("true"))
-    pairs = match.candidates(part, supplier, "p_partkey", "s_suppkey", ("p_retailprice", "p_size"))
-    return match.top_candidates(pairs, 2).select("request", "resource", "place")
+    return match.top(part, supplier, 2, "p_partkey", "s_suppkey", ("p_retailprice", "p_size")).select("request", "resource", "place")
 
 
 def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
