@@ -311,6 +311,54 @@ def test_match_best_joins_few(spark, tmp_path, monkeypatch):
     assert 0 < seen[0].count() <= 150 * 25 * 2
 
 
+@pytest.mark.parametrize(("mine", "rank", "theirs", "kind"), MARKETS)
+@pytest.mark.parametrize("limit", [0, 7])
+def test_match_assignment(spark, mine, rank, theirs, kind, limit):
+    """Each request takes the best candidate that none before it took."""
+    from tidemark.operators import match
+
+    a, b = _with_texts(*_market(spark, kind), mine, rank, theirs)
+    _same_assignment(match, a, b, limit)
+
+
+def _same_assignment(match, a, b, limit=0, using=()):
+    pairs = sorted((r["request"], -r["rank"], r["resource"]) for r in match.candidates(a, b, using=using).collect())
+    taken, want = set(), {}
+    for q in sorted(r["Key"] for r in a.collect())[: limit or None]:
+        free = [(r, -k) for p, k, r in pairs if p == q and r not in taken]
+        want[q] = free[0] if free else (None, None)
+        taken.add(want[q][0])
+    got = match.assign(a, b, limit, using=using).collect()
+    assert len(got) == len(want) and {r["request"]: (r["resource"], r["rank"]) for r in got} == want
+
+
+def test_match_assignment_of_many_texts(spark, monkeypatch):
+    from tidemark.operators import match
+
+    monkeypatch.setattr(match, "MOST_TEXTS", 12)
+    a, b = _market(spark)
+    _same_assignment(match, a.withColumn("Requirements", F.lit("TARGET.Size >= Need")), b, using=("Need",))
+    a = a.withColumn("Requirements", F.concat(F.lit("TARGET.Size >= Need + "), F.substring("Key", 3, 1))).withColumn("Rank", F.when(F.col("Cpus") > 2, "TARGET.Size").otherwise("0 - TARGET.Slots"))
+    _same_assignment(match, a, b.withColumn("Requirements", F.when(F.col("Slots") > 1, F.concat(F.lit("TARGET.Cpus != "), F.substring("Key", 3, 1)))))
+    variant = b.withColumn("Slots", F.expr("CASE WHEN Slots = 2 THEN parse_json('true') ELSE cast(Slots AS variant) END"))
+    _same_assignment(match, a.withColumn("Requirements", F.lit("TARGET.Slots >= Cpus")).drop("Rank"), variant)
+
+
+def test_match_assignment_streams_few(spark, tmp_path, monkeypatch):
+    """The task that assigns is sent requests, resources and classes, not the candidates."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from tidemark.queries import QUERIES
+
+    spark.range(600).selectExpr("id AS p_partkey", "double(900 + id % 50) AS p_retailprice", "int(id % 30) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey", "double(id * 37 % 3000) AS s_acctbal", "int(id % 25) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen = []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(Classic, name, lambda self, *args, run=getattr(Classic, name), **more: seen.append(self) or run(self, *args, **more))
+    assert QUERIES["match_greedy"](spark, str(tmp_path)).count() == 600
+    assert len(seen) == 1 and seen[0].count() <= 600 + 400 + 30 * 25
+
+
 def test_wide_rows_survive(engine, spark):
     """Each write keeps every row, also when adaptive execution merges shuffle partitions."""
     wide = spark.range(40_000).select(F.col("id").cast("string").alias("Key"), F.col("id").alias("n"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 16).alias("pad"))

@@ -198,8 +198,7 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part").withColumn("Requirements", F.lit("TARGET.s_acctbal >= p_retailprice && p_size <= TARGET.s_nationkey")).withColumn("Rank", F.lit("TARGET.s_acctbal"))
-    pairs = match.candidates(part, _read(spark, sf_dir, "supplier"), "p_partkey", "s_suppkey")
-    return match.assign(spark, part, pairs, 0, "p_partkey")
+    return match.assign(part, _read(spark, sf_dir, "supplier"), 0, "p_partkey", "s_suppkey")
 
 
 def cdc_delete_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
